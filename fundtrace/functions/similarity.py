@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PREFIX_WEIGHT = 0.1
 PREFIX_LIMIT = 4
@@ -46,7 +52,7 @@ def jaro_winkler_pair(a: str, b: str) -> float:
     return score
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series(

@@ -34,19 +34,14 @@ def json_array(document: Column, element: str) -> Column:
 def address_field(addresses: Column, *keys: str) -> Column:
     """First address with a value under any of ``keys`` (letter case ignored), in upper case."""
 
-    def value_of(address: Column) -> Column:
-        return F.coalesce(
-            *[
-                F.get(
-                    F.filter(
-                        F.map_entries(address),
-                        lambda e, key=key: (F.lower(e["key"]) == key) & (e["value"] != ""),
-                    ),
-                    0,
-                )["value"]
-                for key in keys
-            ]
+    def value_under(address: Column, key: str) -> Column:
+        named = F.filter(
+            F.map_entries(address), lambda e: (F.lower(e["key"]) == F.lit(key)) & (e["value"] != "")
         )
+        return F.get(named, 0)["value"]
+
+    def value_of(address: Column) -> Column:
+        return F.coalesce(*[value_under(address, key) for key in keys])
 
     values = F.transform(json_array(addresses, "map<string,string>"), value_of)
     return F.upper(F.trim(F.get(F.filter(values, lambda v: v.isNotNull()), 0)))
