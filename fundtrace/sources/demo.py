@@ -83,7 +83,7 @@ _TEXT_KEY = (
 DERIVED: dict[str, str] = {
     "entity_seed": (
         "SELECT c_custkey AS id, CAST(100000001 + c_custkey AS STRING) AS bn_root, "
-        "'charity' AS entity_type, c_nationkey AS nation, "
+        "'charity' AS entity_type, CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END % 25 AS nation, "
         "CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END AS seed FROM customer "
         "UNION ALL SELECT 1000000000 + s_suppkey, CAST(200000001 + s_suppkey AS STRING), "
         "CASE WHEN s_suppkey % 12 = 5 THEN NULL ELSE 'business' END, s_nationkey, "
@@ -97,7 +97,7 @@ DERIVED: dict[str, str] = {
     ),
     "golden_text": (
         f"SELECT id, plain_name || {_pick(_SUFFIXES, 'id')} AS canonical_name, entity_type, "
-        "CASE WHEN id % 53 = 8 THEN CAST(NULL AS STRING) ELSE bn_root END AS bn_root, "
+        "CASE WHEN id % 53 = 8 OR id % 20 = 3 THEN CAST(NULL AS STRING) ELSE bn_root END AS bn_root, "
         "bn_root || 'RR0001,' || bn_root || 'RC0001' AS bn_variants_csv, "
         "CASE WHEN id % 4 = 0 THEN '[\"' || plain_name || ' Trust\", \"Friends of ' || plain_name || '\"]' "
         "WHEN id % 4 = 1 THEN '[{\"name\": \"' || plain_name || ' Partners Ltd.\"}, {\"alias\": \"The ' || plain_name || '\"}, \"' || plain_name || ' O/A Local Group\"]' "
@@ -190,6 +190,21 @@ DERIVED: dict[str, str] = {
         "ELSE CAST(0.97 AS DOUBLE) END AS match_confidence "
         "FROM raw_links r JOIN entity_named n ON n.id = r.entity_id"
     ),
+    # Pairs of neighbouring records under review, and two rounds of decisions on them.
+    "review_candidates": (
+        "SELECT 'c' || CAST(a.id AS STRING) AS candidate_id, a.id AS entity_id_l, b.id AS entity_id_r, "
+        "a.canonical_name AS legal_name_l, b.canonical_name AS legal_name_r, "
+        "coalesce(a.source_link_count, 0) AS source_count_l, coalesce(b.source_link_count, 0) AS source_count_r, "
+        "CAST(a.id % 97 + 4 AS DOUBLE) / 100 AS match_probability "
+        "FROM golden_text a JOIN golden_text b ON b.id = a.id + 1 WHERE a.id % 10 IN (2, 4)"
+    ),
+    "review_decisions": (
+        "SELECT candidate_id, CASE WHEN entity_id_l % 4 = 0 THEN 'different' ELSE 'same' END AS status, "
+        "'first' AS reviewed_by, 'round one' AS review_note, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS reviewed_at "
+        "FROM review_candidates WHERE entity_id_l % 7 <> 3 UNION ALL "
+        "SELECT candidate_id, CASE WHEN entity_id_l % 3 = 0 THEN 'needs_review' ELSE 'same' END, 'second', "
+        "'round two', CAST('2024-02-01 00:00:00' AS TIMESTAMP) FROM review_candidates WHERE entity_id_l % 3 <> 1"
+    ),
     # One open-data feed row per event; every 29th lacks its id and every 31st has a broken amount.
     "feed_rows": (
         "SELECT e.event_id AS seq, CASE WHEN e.event_type IN ('purchase', 'view') THEN 'fed_grants' "
@@ -209,7 +224,16 @@ DERIVED: dict[str, str] = {
 }
 
 
-_INNER = {"entity_seed", "entity_named", "golden_text", "cra_filings", "raw_links", "feed_rows"}
+_INNER = {
+    "entity_seed",
+    "entity_named",
+    "golden_text",
+    "cra_filings",
+    "raw_links",
+    "feed_rows",
+    "review_candidates",
+    "review_decisions",
+}
 _PLANS: dict[tuple[str, str], dict[str, DataFrame]] = {}
 _WAREHOUSES: dict[tuple, Warehouse] = {}
 
