@@ -120,7 +120,8 @@ def find_loops(edges: DataFrame, max_hops: int = 6) -> DataFrame:
 
 def detect(gifts: DataFrame, min_edge_amount: float, max_hops: int = 6) -> dict[str, DataFrame]:
     """The three loop tables, detected in the gifts. ``id`` is the path itself."""
-    edges = checkpoint(prune(gift_graph(gifts, min_edge_amount)))
+    graph = checkpoint(gift_graph(gifts, min_edge_amount))
+    edges = checkpoint(prune(graph))
     loops = checkpoint(find_loops(edges, max_hops))
     used = path_pairs(loops).select("src_bn", "dst_bn").distinct()
     loop_edges = used.join(

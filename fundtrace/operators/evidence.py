@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundtrace.operators.cycles import cycle_edge_evidence
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse
 
 # Edge source -> (shown table name, warehouse table, key column).
@@ -34,7 +35,8 @@ def evidence_for_edges(wh: Warehouse, requests: DataFrame) -> DataFrame:
     Where several rows carry one key the smallest JSON text is given. Requests of an unknown source
     or without a row give nothing.
     """
-    wanted = requests.select("source", "source_row_id").distinct()
+    # Read once per source table below.
+    wanted = checkpoint(requests.select("source", "source_row_id").distinct())
     parts = F.split("source_row_id", r"\|")
     found = []
     for source, (label, table) in FILED.items():

@@ -12,22 +12,40 @@ from fundtrace.operators.entities import id_by_root, named, top
 from fundtrace.sources.warehouse import Warehouse
 
 
+def _pair_gifts(wh: Warehouse) -> DataFrame:
+    a, b = ids.bn_left(F.col("bn")), ids.bn_left(F.col("donee_bn"))
+    return wh.gifts.filter("total_gifts > 0 AND donee_bn IS NOT NULL").select(
+        F.least(a, b).alias("root_x"),
+        F.greatest(a, b).alias("root_y"),
+        "total_gifts",
+        ids.filing_row_id(F.col("bn"), F.col("fpe"), F.col("sequence_number")).alias("source_row_id"),
+    )
+
+
 def gift_pair_totals(wh: Warehouse) -> DataFrame:
     """Gifts per unordered pair of business numbers, summed before any entity is joined."""
-    a, b = ids.bn_left(F.col("bn")), ids.bn_left(F.col("donee_bn"))
     return (
-        wh.gifts.filter("total_gifts > 0 AND donee_bn IS NOT NULL")
-        .groupBy(F.least(a, b).alias("root_x"), F.greatest(a, b).alias("root_y"))
-        .agg(
-            F.sum("total_gifts").alias("total"),
-            F.min(
-                ids.filing_row_id(F.col("bn"), F.col("fpe"), F.col("sequence_number"))
-            ).alias("source_row_id"),
-            F.count("*").alias("gift_count"),
-        )
+        _pair_gifts(wh)
+        .groupBy("root_x", "root_y")
+        .agg(F.sum("total_gifts").alias("total"), F.count("*").alias("gift_count"))
     )
 
 
+def _with_first_row(wh: Warehouse, totals: DataFrame) -> DataFrame:
+    """Add the smallest gift row id of each pair.
+
+    A text minimum sorts its input, so it is taken for the pairs that passed the threshold only.
+    """
+    keys = ["root_x", "root_y"]
+    first = (
+        _pair_gifts(wh)
+        .join(totals.select(*keys), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.min("source_row_id").alias("source_row_id"))
+    )
+    return totals.join(first, keys)
+
+
 def _entity_pairs(totals: DataFrame, entities: DataFrame) -> DataFrame:
     """Pairs of numbers as pairs of entities, the smaller id first."""
     return (
@@ -53,7 +71,9 @@ def shared_director_funding_pairs(
     No two entities are paired for sharing a name; money finds the pairs and the names are then
     looked up, which bounds the work by the gifts.
     """
-    totals = gift_pair_totals(wh).filter(F.col("total") >= F.lit(min_total_amount))
+    totals = _with_first_row(
+        wh, gift_pair_totals(wh).filter(F.col("total") >= F.lit(min_total_amount))
+    )
     held = name_entities(wh, active_only=True, funded_only=True).select("entity_id", NAME)
     found = _sharing_a_name(_entity_pairs(totals, wh.active_entities), held).select(
         NAME,
@@ -73,10 +93,11 @@ def director_funding_pairs_fast(
     Two entities under one number see every gift between them from both ends, so it counts twice.
     """
     times = F.when(F.col("root_x") == F.col("root_y"), 2).otherwise(1)
-    totals = (
+    totals = _with_first_row(
+        wh,
         gift_pair_totals(wh)
         .withColumns({"total": F.col("total") * times, "gift_count": F.col("gift_count") * times})
-        .filter(F.col("total") >= F.lit(min_amount))
+        .filter(F.col("total") >= F.lit(min_amount)),
     )
     held = name_entities(wh).filter(F.length(NAME) > 4).select("entity_id", NAME)
     found = _sharing_a_name(_entity_pairs(totals, wh.entities), held).select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fundtrace import schemas
 from fundtrace.functions import ids, names, values
 from fundtrace.operators.entities import top
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse, empty
 
 # Feed fields per source. A source without a name field never matches by name.
@@ -114,7 +115,8 @@ def build_index(wh: Warehouse, overrides: Overrides | None = None) -> MatchIndex
         .unionByName(by_name)
         .join(alias_confidence, ["kind", "key", "entity_id"], "left")
     )
-    final = _collapse(loaded, overrides.survivors)
+    # The index is stored once and read by every batch.
+    final = checkpoint(_collapse(loaded, overrides.survivors))
     keys = (
         final.groupBy("kind", "key")
         .agg(
@@ -124,7 +126,7 @@ def build_index(wh: Warehouse, overrides: Overrides | None = None) -> MatchIndex
         )
         .join(override_names, ["kind", "key"], "left")
     )
-    return MatchIndex(keys, final.select("kind", "key", "entity_id").distinct())
+    return MatchIndex(checkpoint(keys), final.select("kind", "key", "entity_id").distinct())
 
 
 def index_stats(index: MatchIndex, overrides: Overrides) -> DataFrame:

@@ -152,7 +152,8 @@ def analyze_neighborhood(
         .groupBy("ring_id")
         .agg(F.sort_array(F.collect_set("entity_id")).alias("seeds_touched"))
     )
-    return with_member_names(wh, rings.join(touched, "ring_id"), prefix="").orderBy(
+    found = checkpoint(rings.join(touched, "ring_id"))
+    return with_member_names(wh, found, prefix="").orderBy(
         F.desc("total_amount"), "ring_id"
     )
 

@@ -25,7 +25,7 @@ from fundtrace.operators import (
     risk,
     scoring,
 )
-from fundtrace.session import tune
+from fundtrace.session import checkpoint, tune
 from fundtrace.sources import demo
 from fundtrace.streaming import findings, validate
 
@@ -60,7 +60,7 @@ class Run:
 
     @property
     def overrides(self) -> resolve.Overrides:
-        return resolve.approved_overrides(self.decided)
+        return resolve.approved_overrides(checkpoint(self.decided))
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -498,11 +498,12 @@ def _(r: Run):
 
 @query("er2_candidate_pairs")
 def _(r: Run):
-    return _profile_text(linkage.candidate_pairs(_profiles(r)), _profiles(r))
+    rows = _profiles(r)
+    return _profile_text(linkage.candidate_pairs(rows), rows)
 
 
 def _profiles(r: Run) -> DataFrame:
-    return linkage.profiles(linkage.extract_records(r.wh))
+    return checkpoint(linkage.profiles(linkage.extract_records(r.wh)))
 
 
 def _profile_text(found: DataFrame, rows: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ DERIVED: dict[str, str] = {
         "max(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY 1, 2"
     ),
     "cra_compensation": (
-        "SELECT bn, fpe, CAST(spent * (k % 10) / 10 AS DECIMAL(18,2)) AS field_390 FROM cra_filings"
+        "SELECT bn, fpe, CAST(spent * CAST(k % 10 AS DECIMAL(2,0)) * CAST(0.1 AS DECIMAL(2,1)) AS DECIMAL(18,2)) AS field_390 FROM cra_filings"
     ),
     "cra_financial_details": "SELECT bn, fpe, spent AS field_5100 FROM cra_filings",
     "cra_identification": (

@@ -10,6 +10,7 @@ from fundtrace.operators import rings as ring_ops
 from fundtrace.operators.cycles import BROADCAST_LOOPS
 from fundtrace.operators.entities import top
 from fundtrace.operators.resolve import MatchIndex
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse
 
 NOISE_BELOW = 1_000
@@ -97,7 +98,7 @@ def analyze(
         .groupBy("entity_id")
         .agg(F.min_by("t", trigger_order).alias("t"))
     )
-    rings = ring_ops.cycle_rings(wh, limit)
+    rings = checkpoint(ring_ops.cycle_rings(wh, limit))
     members = ring_ops.ring_members(rings).select("ring_id", "entity_id").distinct()
     if limit <= BROADCAST_LOOPS:
         members = F.broadcast(members)
@@ -112,7 +113,8 @@ def analyze(
         )
         .select("ring_id", F.col("b.entity_id").alias("seed"), "b.t.*")
     )
-    named = ring_ops.with_member_names(wh, rings.join(per_ring, "ring_id"), prefix="")
+    touched = checkpoint(rings.join(per_ring, "ring_id"))
+    named = ring_ops.with_member_names(wh, touched, prefix="")
     known = prior_ring_ids.select("ring_id").distinct().withColumn("_known", F.lit(True))
     others = F.filter("entity_ids", lambda e: e != F.col("seed"))
     ring_amount = F.col("total_amount")
