@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -18,6 +18,28 @@ PREFIX_WEIGHT = 0.1
 PREFIX_LIMIT = 4
 BOOST_FROM = 0.7
 
+# Least similarity of the two levels below equality.
+CLOSE = 0.92
+LIKE = 0.82
+
+
+def _shared_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a[:PREFIX_LIMIT], b[:PREFIX_LIMIT]):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def cannot_reach(a: str, b: str, least: float) -> bool:
+    """True if the letters two strings have in common already rule out ``least``."""
+    common = sum(min(a.count(c), b.count(c)) for c in set(a))
+    if not common:
+        return True
+    bound = (common / len(a) + common / len(b) + 1) / 3
+    return bound + _shared_prefix(a, b) * PREFIX_WEIGHT * (1 - bound) < least - 1e-9
+
 
 def jaro_winkler_pair(a: str, b: str) -> float:
     """Similarity of two strings; the shared-prefix bonus applies above 0.7 only."""
@@ -43,11 +65,7 @@ def jaro_winkler_pair(a: str, b: str) -> float:
     m = len(hits_a)
     score = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if score > BOOST_FROM:
-        prefix = 0
-        for x, y in zip(a[:PREFIX_LIMIT], b[:PREFIX_LIMIT]):
-            if x != y:
-                break
-            prefix += 1
+        prefix = _shared_prefix(a, b)
         score += prefix * PREFIX_WEIGHT * (1 - score)
     return score
 
@@ -68,17 +86,32 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     return _jaro_winkler(left, right)
 
 
+def unequal_level(a: str, b: str) -> int:
+    """2 at least 0.92, 1 at least 0.82, 0 below."""
+    if not a or not b or cannot_reach(a, b, LIKE):
+        return 0
+    score = jaro_winkler_pair(a, b)
+    return 2 if score >= CLOSE else 1 if score >= LIKE else 0
+
+
+@F.pandas_udf(IntegerType())
+def _levels(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in pairs:
+        yield pd.Series(
+            [
+                None if a is None or b is None else unequal_level(a, b)
+                for a, b in zip(left, right)
+            ],
+            dtype="Int32",
+        )
+
+
 def name_level(left: Column, right: Column) -> Column:
     """3 equal, 2 at least 0.92, 1 at least 0.82, 0 below, -1 unknown.
 
     Equal and missing names are settled before Python is involved.
     """
-    unequal = F.when(left != right, left)
-    score = jaro_winkler(unequal, F.when(left != right, right))
+    level = _levels(F.when(left != right, left), F.when(left != right, right))
     return (
-        F.when(left.isNull() | right.isNull(), -1)
-        .when(left == right, 3)
-        .when(score >= 0.92, 2)
-        .when(score >= 0.82, 1)
-        .otherwise(0)
+        F.when(left.isNull() | right.isNull(), -1).when(left == right, 3).otherwise(level)
     )

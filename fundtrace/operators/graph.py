@@ -480,7 +480,7 @@ def director_overlay(wh: Warehouse, rings: DataFrame) -> DataFrame:
     """
     rings = checkpoint(rings)
     keyed = rings.withColumn("cycle_id", ids.cycle_id_of_ring(F.col("ring_id")))
-    wanted = F.broadcast(keyed.select("cycle_id").filter("cycle_id IS NOT NULL"))
+    wanted = keyed.select("cycle_id").filter("cycle_id IS NOT NULL")
     money = checkpoint(
         cycle_graph(wh, wanted).select(
             ids.cycle_ring_id(F.col("cycle_id")).alias("ring_id"), *GRAPH_COLUMNS

@@ -294,7 +294,12 @@ def estimate_u(model: Model, rows: DataFrame, pairs_wanted: int = U_PAIRS) -> Mo
         F.col("profile_id").alias("profile_r"),
         F.col("cleaned_name").alias("cleaned_name_r"),
     )
-    random_pairs = left.join(right, "_b").filter("cleaned_name_l < cleaned_name_r")
+    # About half of the wanted pairs remain; that many rows spread over all cores are a small shuffle.
+    random_pairs = (
+        left.join(right, "_b")
+        .filter("cleaned_name_l < cleaned_name_r")
+        .repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    )
     level = similarity.name_level(F.col("cleaned_name_l"), F.col("cleaned_name_r"))
     seen = {r["level"]: r["count"] for r in random_pairs.select(level.alias("level")).groupBy("level").count().collect()}
     total = max(sum(seen.values()), 1)

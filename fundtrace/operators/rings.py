@@ -1,7 +1,8 @@
 """Ring payloads: related-party rings, neighbourhoods, prewarmed and ranked rings (G8-G10, SC3).
 
-A report here starts from a fixed number of cycles and director pairs (200 and 200 at most by
-default), so ring tables and their member lists are small and may be broadcast.
+A report starts from a fixed number of cycles and director pairs (200 and 200 at most by default)
+and is stored once it is formed. How many entities share a business number is not bounded, so member
+lists carry no broadcast hint: the size of the stored report decides.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ def ring_members(rings: DataFrame) -> DataFrame:
 def with_member_names(wh: Warehouse, rings: DataFrame, prefix: str) -> DataFrame:
     """Add ``canonical_names`` in member order; an unknown id shows as ``prefix`` + id."""
     listed = ring_members(rings)
-    wanted = F.broadcast(listed.select(F.col("entity_id").alias("id")).distinct())
+    wanted = listed.select(F.col("entity_id").alias("id")).distinct()
     lookup = wh.entities.join(wanted, "id", "left_semi").select(
         F.col("id").alias("entity_id"), "canonical_name"
     )
     named = (
-        listed.join(F.broadcast(lookup), "entity_id", "left")
+        listed.join(lookup, "entity_id", "left")
         .withColumn(
             "name",
             F.coalesce(
@@ -48,7 +49,7 @@ def with_member_names(wh: Warehouse, rings: DataFrame, prefix: str) -> DataFrame
         .agg(F.sort_array(F.collect_list(F.struct("ord", "entity_id", "name"))).alias("m"))
         .select("ring_id", F.col("m.name").alias("canonical_names"))
     )
-    return rings.join(F.broadcast(named), "ring_id", "left").withColumn(
+    return rings.join(named, "ring_id", "left").withColumn(
         "canonical_names", F.coalesce("canonical_names", F.array().cast(_STRINGS))
     )
 
@@ -143,12 +144,11 @@ def analyze_neighborhood(
 ) -> DataFrame:
     """Cycles that touch any of ``seeds.entity_id`` and which seeds those are."""
     rings = checkpoint(cycle_rings(wh, limit).filter(F.col("total_amount") >= min_total_amount))
-    listed = ring_members(rings)
-    if limit is not None and limit <= cycles.BROADCAST_LOOPS:
-        listed = F.broadcast(listed)
+    # A seed counts once however often it is given.
     touched = (
         seeds.select("entity_id")
-        .join(listed, "entity_id")
+        .distinct()
+        .join(ring_members(rings), "entity_id")
         .groupBy("ring_id")
         .agg(F.sort_array(F.collect_set("entity_id")).alias("seeds_touched"))
     )
@@ -180,8 +180,8 @@ def prewarmed_rings(wh: Warehouse, head: int = 80, keep: int = 30) -> DataFrame:
 def edges_inside(rings: DataFrame, edges: DataFrame) -> DataFrame:
     """(ring_id, edge) for edges with both ends among the ring's members."""
     listed = ring_members(rings).select("ring_id", "entity_id").distinct()
-    at_from = F.broadcast(listed.withColumnRenamed("entity_id", "from_entity_id"))
-    at_to = F.broadcast(listed.withColumnRenamed("entity_id", "to_entity_id"))
+    at_from = listed.withColumnRenamed("entity_id", "from_entity_id")
+    at_to = listed.withColumnRenamed("entity_id", "to_entity_id")
     return edges.join(at_from, "from_entity_id").join(at_to, ["ring_id", "to_entity_id"])
 
 

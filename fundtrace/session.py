@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,17 +45,25 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the cluster's reliable checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only when the session
-    names none (tests, a laptop) is a scratch folder set.
+    Only when the session names none (tests, a laptop) is a scratch folder set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir", None
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fundtrace-checkpoint-"))
-    return df.checkpoint(eager=eager)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    A Parquet table keeps what an RDD checkpoint loses: column pruning, compression and the true
+    size, from which later joins choose their strategy. It outlives any executor.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fundtrace.functions import values
 from fundtrace.operators import rings as ring_ops
-from fundtrace.operators.cycles import BROADCAST_LOOPS
 from fundtrace.operators.entities import top
 from fundtrace.operators.resolve import MatchIndex
 from fundtrace.session import checkpoint
@@ -100,8 +99,6 @@ def analyze(
     )
     rings = checkpoint(ring_ops.cycle_rings(wh, limit))
     members = ring_ops.ring_members(rings).select("ring_id", "entity_id").distinct()
-    if limit <= BROADCAST_LOOPS:
-        members = F.broadcast(members)
     per_ring = (
         per_entity.join(members, "entity_id")
         .groupBy("ring_id")

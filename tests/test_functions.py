@@ -105,3 +105,17 @@ def test_ring_score(spark):
     assert score(179_000.0, True) == 0.8
     assert score(2_000_000.0, True) == 1.0
     assert score(10.0, False) == 0.4
+
+
+def test_level_bound_never_hides_a_level():
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ABCD ") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    words += [w + rng.choice("ABCD") for w in words]
+    for a, b in itertools.product(words, words):
+        score = similarity.jaro_winkler_pair(a, b)
+        want = 2 if score >= 0.92 else 1 if score >= 0.82 else 0
+        if a != b:
+            assert similarity.unequal_level(a, b) == want
