@@ -77,7 +77,7 @@ def source_summary(wh: Warehouse, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def related_entities(wh: Warehouse) -> DataFrame:
-    """One row per entry of an entity's related list, with the reference defaults filled in."""
+    """One row per entry of an entity's related list, with the default type and confidence filled in."""
     entry = F.col("entry")
     return (
         wh.entities.select(
