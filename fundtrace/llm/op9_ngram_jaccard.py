@@ -14,9 +14,9 @@ taken rare ones first, that a class similar to it must share one of the prefix's
 Frequent means: counted in more than ``frequent`` classes' lowest hashes, folded into a bit map of bounded size. A
 false bit only makes a token frequent for every class alike, so the join is exact at any size.
 
-Classes that share a signature are verified in two steps. First each with the least class of the
-signature, which is linear even where thousands of near copies share it, and what is linked becomes
-a component. Then all classes that share a signature and are in different components: a bound on the
+Classes that share a signature are verified in steps. First each with at most two others, chosen from its
+signatures' most central classes, which is linear even where thousands of near copies share one; what is linked
+becomes a component. Then all classes that share a signature and are in different components: a bound on the
 overlap from the number of shared signatures comes first, the whole sets are compared after it. A link inside a component adds
 nothing to the result, so no link is lost for it.
 """
@@ -39,6 +39,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT = 20
 GROUPS = 256
+STARS = 2  # linear rounds before all pairs of different components are compared
 _U = np.uint64
 _PAIR, _SMALL = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
@@ -98,7 +99,7 @@ def shingle_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def signatures(own: np.ndarray, n: int, whole: bool, bits: np.ndarray, groups: int = GROUPS):
-    """Signatures of a set: single tokens, combinations, prefix length, and frequent tokens in the prefix.
+    """Signatures of a set: single tokens, combinations, prefix length, frequent tokens in the prefix and their groups.
 
     ``own`` holds its lowest hashes, or all if ``whole``. None if these do not suffice.
     """
@@ -106,7 +107,7 @@ def signatures(own: np.ndarray, n: int, whole: bool, bits: np.ndarray, groups: i
     need = n // 5 + 1  # one more than the tokens a similar set may lack
     rare = own[~flag]
     if len(rare) >= need:
-        return rare[:need], np.zeros(0, _U), need, 0
+        return rare[:need], np.zeros(0, _U), need, 0, 0
     if not whole:
         return None
     often = own[flag]
@@ -130,10 +131,10 @@ def signatures(own: np.ndarray, n: int, whole: bool, bits: np.ndarray, groups: i
         if not same.any():
             break
         pairs.append(words.mix(often[:-step][same] * _PAIR + often[step:][same]))
-    return np.concatenate(singles), np.concatenate(pairs) if pairs else np.zeros(0, _U), len(rare) + taken, taken
+    return np.concatenate(singles), np.concatenate(pairs) if pairs else np.zeros(0, _U), len(rare) + taken, taken, len(np.unique(group))
 
 
-_INDEX = "node long, n int, taken int, often int, single array<long>, pair array<long>"
+_INDEX = "node long, n int, taken int, often int, groups int, single array<long>, pair array<long>"
 
 
 def _index(rows: DataFrame, bits, whole: bool) -> DataFrame:
@@ -144,15 +145,16 @@ def _index(rows: DataFrame, bits, whole: bool) -> DataFrame:
             node, sizes, lists = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
             ends = np.cumsum([0, *lists.value_lengths().to_numpy(zero_copy_only=False)])
-            single, pair, taken, often = [], [], [], []
+            single, pair, taken, often, groups = [], [], [], [], []
             for i, n in enumerate(sizes):
                 own = flat[ends[i] : ends[i + 1]]
                 got = signatures(own, int(n), whole or len(own) == n, bits.value)
-                s, p, t, f = got or (np.zeros(0, _U), np.zeros(0, _U), -1, 0)
-                single.append(s), pair.append(p), taken.append(t), often.append(f)
+                s, p, *facts = got or (np.zeros(0, _U), np.zeros(0, _U), -1, 0, 0)
+                single.append(s), pair.append(p)
+                taken.append(facts[0]), often.append(facts[1]), groups.append(facts[2])
             yield pa.RecordBatch.from_arrays(
-                [node, batch.column(1), pa.array(taken, pa.int32()), pa.array(often, pa.int32()), _lists(single), _lists(pair)],
-                names=["node", "n", "taken", "often", "single", "pair"],
+                [node, batch.column(1), *(pa.array(x, pa.int32()) for x in (taken, often, groups)), _lists(single), _lists(pair)],
+                names=["node", "n", "taken", "often", "groups", "single", "pair"],
             )
 
     return rows.select("node", "n", "own").mapInArrow(scan, _INDEX)
@@ -186,15 +188,18 @@ def _similar(x: str, y: str, common: F.Column) -> F.Column:
 
 
 def _possible(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs (a, b, shared single tokens) whose sizes and shared tokens leave a link possible.
+    """Pairs (a, b, shared, combined) whose sizes and shared signatures leave a link possible.
 
-    Of two prefixes the one that ends first lies in the other as far as they overlap, so both sets
-    share at most: the shared rare tokens, the frequent tokens in a prefix, and all that follows a prefix.
+    Of two prefixes the one that ends first lies in the other as far as they overlap, so both sets share at
+    most: the shared single tokens, the frequent tokens in a prefix, and all that follows a prefix. A group of
+    which m frequent tokens are shared gives m - 1 or more shared combinations, so the frequent ones shared
+    are no more than groups and shared combinations together.
     """
     for side in ("a", "b"):
-        facts = index.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "taken", "often")))
+        facts = index.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "taken", "often", "groups")))
         pairs = pairs.join(facts, F.col(side) == F.col(f"node_{side}")).drop(f"node_{side}")
-    most = F.col("shared") + F.least("often_a", "often_b") + F.greatest(F.col("n_a") - F.col("taken_a"), F.col("n_b") - F.col("taken_b"))
+    often = F.least("often_a", "often_b", F.least("groups_a", "groups_b") + F.col("combined"))
+    most = F.col("shared") + often + F.greatest(F.col("n_a") - F.col("taken_a"), F.col("n_b") - F.col("taken_b"))
     most = F.least(most, F.col("n_a"), F.col("n_b"))
     return pairs.filter(_similar("n_a", "n_b", most)).select("a", "b")
 
@@ -211,6 +216,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int)
     return table(linked.select("a", "b"))
 
 
+def _placed(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Table of the entries (mark, node, one, shares) with their components, for marks of more than one component."""
+    placed = entries.join(joined, "node", "left").select("mark", "node", "one", "shares", F.coalesce("component", "node").alias("component"))
+    placed = table(placed)
+    mixed = placed.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return table(placed.join(table(mixed.select("mark", "low")).filter("low >= 0").select("mark"), "mark"))
+
+
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = FREQUENT):
     """Tables of the rows (doc_id, n, digest), of the classes, and of links that join their components."""
     spark = prepare(docs.sparkSession)
@@ -222,43 +235,64 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
     chosen = nodes.filter("node >= 0").select(F.col("node").alias("row"))
     sets = table(rows.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "n", F.col("low").alias("own")))
 
-    counted = sets.select(F.explode("own").alias("token")).groupBy("token").count().filter(F.col("count") > frequent)
-    often = table(counted.select("token"))
-    bits = spark.sparkContext.broadcast(bit_map(often))
-    by_low = table(_index(sets, bits, whole=False))
-    wide = table(by_low.filter("taken < 0").select("node").join(nodes, "node").select("node", "key", "digest"))
-    by_all = table(_index(whole_sets(docs, wide, shingle), bits, whole=True))
-    index = by_low.filter("taken >= 0").unionByName(by_all)
-    drop(sets, often)
+    def often(own: DataFrame) -> DataFrame:
+        counted = own.select(F.explode("own").alias("token")).groupBy("token").count()
+        return counted.filter(F.col("count") > frequent).select("token")
+
+    def whole(marked: DataFrame) -> DataFrame:
+        wanted = marked.filter("taken < 0").select("node").join(nodes, "node").select("node", "key", "digest")
+        return table(whole_sets(docs, table(wanted), shingle))
+
+    def known(tokens: DataFrame):
+        return spark.sparkContext.broadcast(bit_map(tokens))
+
+    # Sets with too few rare tokens among their lowest hashes are read whole, and then the rest of their tokens counted.
+    low = table(often(sets))
+    first = table(_index(sets, known(low), False))
+    wide = whole(first)
+    bits = known(table(low.unionByName(often(wide)).distinct()))
+    narrow = sets.join(first.filter("taken >= 0").select("node"), "node", "left_semi")
+    second = table(_index(narrow, bits, False))
+    index = second.filter("taken >= 0").unionByName(_index(wide, bits, True)).unionByName(_index(whole(second), bits, True))
+    index = table(index)
+    drop(sets, low, first, second)
 
     lists = (("single", True), ("pair", False))
     entries = None
     for column, one in lists:
         part = index.select(F.explode(column).alias("mark"), "node", F.lit(one).alias("one"))
         entries = part if entries is None else entries.unionByName(part)
-    marks = entries.groupBy("mark").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    marks = table(marks.filter("least < most").select("mark", "least"))
+    marks = entries.groupBy("mark").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("of"))
+    marks = table(marks.filter("least < most").select("mark", "of"))
     # What is left are the signatures that several classes share.
-    entries = table(entries.join(marks.filter("least >= 0"), "mark"))
-
-    def shared(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.sum(F.col("one").cast("int")).alias("shared"))
-
-    near_least = entries.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"), "one")
-    links = _verified(docs, nodes, _possible(shared(near_least), index), shingle)
-    joined = table(components(links))
-
-    placed = entries.join(joined, "node", "left").select("mark", "node", "one", F.coalesce("component", "node").alias("component"))
-    placed = table(placed)
-    mixed = placed.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    placed = table(placed.join(table(mixed.select("mark", "low")).filter("low >= 0").select("mark"), "mark"))
+    entries = table(entries.join(marks.filter("of > 1"), "mark"))
+    # The text others were copied from shares its signatures with most of them.
+    shares = table(entries.groupBy("node").agg(F.sum("of").alias("shares")))
+    entries = table(entries.join(shares, "node").select("mark", "node", "one", "shares"))
+
+    links, joined = None, table(nodes.limit(0).select("node", F.col("node").alias("component")))
+    for _ in range(STARS):
+        # Each class with the most central class of another component in each signature, at most two of
+        # these: linear in the index.
+        placed = _placed(entries, joined)
+        near = placed.groupBy("mark").agg(F.max(F.struct("shares", "node", "component")).alias("to"))
+        near = placed.join(table(near).filter("mark is not null"), "mark").filter("component <> to.component")
+        counted = near.groupBy(F.col("node").alias("a"), F.col("to.node").alias("b")).agg(F.count(F.lit(1)).alias("marks"), F.first("to.shares").alias("shares"))
+        best = counted.groupBy("a").agg(F.max(F.struct("marks", "b")).alias("best"), F.max(F.struct("shares", "b")).alias("central"))
+        pairs = best.select("a", F.explode(F.array_distinct(F.array("best.b", "central.b"))).alias("b"))
+        found = _verified(docs, nodes, pairs, shingle)
+        links = found if links is None else table(links.unionByName(found))
+        joined = table(components(links))
+
+    placed = _placed(entries, joined)
     groups = table(placed.select("mark", "component").distinct())
     left, right = (groups.select("mark", F.col("component").alias(c)) for c in ("c1", "c2"))
     across = left.join(right, "mark").filter("c1 < c2")
     for side, group in (("x", "c1"), ("y", "c2")):
         members = placed.select("mark", F.col("component").alias(group), F.col("node").alias(side), "one")
         across = across.join(members if side == "x" else members.drop("one"), ["mark", group])
-    pairs = shared(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "one"))
+    across = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "one")
+    pairs = across.groupBy("a", "b").agg(F.sum(F.col("one").cast("int")).alias("shared"), F.sum((~F.col("one")).cast("int")).alias("combined"))
     more = _verified(docs, nodes, _possible(pairs, index), shingle)
     return rows, nodes, links.unionByName(more), joined, more
 
