@@ -9,9 +9,14 @@ LIKELY_SAME = 0.97
 NEEDS_REVIEW = 0.70
 
 
+def feed_number(value: Column) -> Column:
+    """Number in a feed field, null where there is none. Java's forms 12d, 12f and 0x1p3 are none."""
+    return F.when(~value.rlike(r"(?i)[0-9.][df]\s*$|0x"), value.try_cast("double"))
+
+
 def parse_amount(value: Column) -> Column:
     """Number in a feed field; anything unreadable counts as zero."""
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(feed_number(F.nullif(F.trim(value), F.lit(""))), F.lit(0.0))
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:

@@ -29,7 +29,8 @@ FLOOR = 1e-6
 
 # A block of more profiles than this is cut into tiles that are joined pair by pair of tiles.
 TILE = 2_000
-# Partners per profile in a training block; larger blocks are represented by weighted samples.
+# Defaults of ``train``: partners per profile in a training block, larger blocks being represented by
+# weighted samples (None compares every pair), and random pairs for the chance of agreement.
 TRAINING_PARTNERS = 1_000
 U_PAIRS = 1_000_000
 
@@ -314,17 +315,16 @@ def estimate_u(model: Model, rows: DataFrame, pairs_wanted: int = U_PAIRS) -> Mo
     return model
 
 
-def training_patterns(rows: DataFrame, block: str) -> DataFrame:
+def training_patterns(rows: DataFrame, block: str, partners: int | None = TRAINING_PARTNERS) -> DataFrame:
     """Counts of comparison patterns among pairs that agree on ``block``.
 
-    In a block of up to TRAINING_PARTNERS profiles all pairs are compared. In a larger one each
-    profile meets about that many partners, picked by hash, and their counts are scaled up.
+    In a block of up to ``partners`` profiles, or of any size if None, all pairs are compared. In a
+    larger one each profile meets about that many partners, picked by hash, and their counts are scaled up.
     """
     columns = [c for c in COMPARED if c != block]
     keyed = rows.filter(F.col(block).isNotNull())
-    sizes = keyed.groupBy(block).agg(
-        F.ceil(F.count("*") / TRAINING_PARTNERS).cast("int").alias("_t")
-    )
+    tiles = F.lit(1) if partners is None else F.ceil(F.count("*") / partners).cast("int")
+    sizes = keyed.groupBy(block).agg(F.count("*").alias("_n"), tiles.alias("_t")).drop("_n")
     placed = keyed.join(sizes, block)
 
     def half(side: str, seed: int) -> DataFrame:
@@ -387,13 +387,13 @@ def fit(patterns: list[dict], columns: list[str], model: Model, rounds: int = 50
     return m
 
 
-def train(rows: DataFrame) -> Model:
+def train(rows: DataFrame, partners: int | None = TRAINING_PARTNERS, u_pairs: int = U_PAIRS) -> Model:
     """u from chance agreement, m by EM in the number and name blocks, averaged over both."""
-    model = estimate_u(starting_model(), rows)
+    model = estimate_u(starting_model(), rows, u_pairs)
     found: dict[str, list[np.ndarray]] = {c: [] for c in COMPARED}
     for block in ("bn_root", "cleaned_name"):
         columns = [c for c in COMPARED if c != block]
-        patterns = [r.asDict() for r in training_patterns(rows, block).collect()]
+        patterns = [r.asDict() for r in training_patterns(rows, block, partners).collect()]
         for column, m in fit(patterns, columns, model).items():
             found[column].append(m)
     for column, estimates in found.items():
@@ -526,11 +526,11 @@ def predict(rows: DataFrame, model: Model, threshold: float = 0.40) -> DataFrame
     )
 
 
-def clusters(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(profile_id, cluster_id): connected components, named by their smallest profile.
 
     Alternating large-star and small-star rounds; each is a minimum per node (combined map-side)
-    and one join. Only a row count and a checksum reach the driver.
+    and one join, until no link changes. Only a row count and a checksum reach the driver.
     """
     links = checkpoint(
         pairs.filter("profile_l <> profile_r")
@@ -538,7 +538,7 @@ def clusters(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFr
         .distinct()
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours of a node point to the node's minimum.
@@ -641,11 +641,16 @@ class LinkageRun:
     model: Model
 
 
-def run_linkage(wh: Warehouse, threshold: float = 0.40) -> LinkageRun:
+def run_linkage(
+    wh: Warehouse,
+    threshold: float = 0.40,
+    partners: int | None = TRAINING_PARTNERS,
+    u_pairs: int = U_PAIRS,
+) -> LinkageRun:
     """Extract, train, predict, cluster and list candidates."""
     records = checkpoint(extract_records(wh))
     rows = checkpoint(profiles(records))
-    model = train(rows)
+    model = train(rows, partners, u_pairs)
     predictions = checkpoint(predict(rows, model, threshold))
     return LinkageRun(
         records,

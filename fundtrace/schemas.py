@@ -64,11 +64,14 @@ FEED = (
     "`Total Gifts` string"
 )
 
+# What the stream adds to the ledger and to findings: where the rows came from.
+PROVENANCE = "resource_id string, source_url string, fetched_at timestamp"
+
 FINDING = (
     "source string, finding_type string, entity_ids array<bigint>, ring_id string, "
     "trigger_external_id string, narrative string, total_amount double, severity string, "
     "batch_id string, trigger_row_hash string, mapping_method string, confidence_score double, "
-    "review_status string, created_at timestamp"
+    f"review_status string, created_at timestamp, {PROVENANCE}"
 )
 
 ALIAS_OVERRIDE = "alias_norm string, entity_id bigint, confidence double"

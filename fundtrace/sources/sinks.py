@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from fundtrace.sources.warehouse import empty
+from fundtrace.sources.warehouse import empty, is_absent
+
+# Error conditions of files that are there but hold no table.
+UNREADABLE = ("FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")
 
 
 def store_parquet(df: DataFrame, path: str) -> None:
@@ -20,10 +23,13 @@ def store_json(df: DataFrame, path: str) -> None:
 
 
 def load_parquet(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A stored table, empty where it is missing or unreadable."""
+    """A stored table, empty where it is missing or its files are no Parquet. Other failures are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except PySparkException as error:
+        condition = error.getCondition() or ""
+        if condition != "PATH_NOT_FOUND" and not condition.startswith(UNREADABLE):
+            raise
         return empty(spark, ddl)
 
 
@@ -33,6 +39,8 @@ def load_json_or(
     """Stored rings, or the live plan where nothing is stored."""
     try:
         stored = spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return fallback()
     return fallback() if stored.isEmpty() else stored

@@ -28,6 +28,11 @@ def conform(df: DataFrame, ddl: str, optional: set[str] = frozenset()) -> DataFr
     return df.select(*wanted)
 
 
+def is_absent(error: AnalysisException) -> bool:
+    """Whether the error says that a path does not exist; any other one is a failure."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 class Warehouse:
     """Lazy access to the warehouse tables.
 
@@ -51,7 +56,9 @@ class Warehouse:
             def read() -> DataFrame:
                 try:
                     return spark.read.parquet(f"{root}/{name}.parquet")
-                except AnalysisException:
+                except AnalysisException as error:
+                    if not is_absent(error):
+                        raise
                     return empty(spark, schemas.TABLES[name])
 
             return read

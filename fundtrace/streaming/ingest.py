@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fundtrace import schemas
-from fundtrace.functions import ids
 from fundtrace.operators import resolve
 from fundtrace.operators.entities import top
-from fundtrace.sources.warehouse import Warehouse, empty
+from fundtrace.session import checkpoint, scratch
+from fundtrace.sources.warehouse import Warehouse, empty, is_absent
 from fundtrace.streaming import findings as finding_ops
 from fundtrace.streaming import validate
 
 SOURCES = tuple(resolve.FEED_FIELDS)
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -35,21 +34,26 @@ class Feed:
     inbox: str
     out: str
     max_files: int = 100
+    resource_id: str | None = None
+    source_url: str | None = None
+    # How many of the newest findings tell a new ring from a known one; None takes all.
+    prior_findings: int | None = finding_ops.PRIOR_FINDINGS
 
 
 def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
-    """New rows of a feed: an external id seen in an earlier file or batch does not come again.
+    """Lines of a feed as they came. Nothing is parsed or dropped before a batch counts it."""
+    return spark.readStream.option("maxFilesPerTrigger", feed.max_files).text(feed.inbox)
 
-    The seen ids are streaming state, checkpointed with the query. A row without an id is told
-    apart by its content and goes on to quarantine.
+
+def new_rows(lines: DataFrame, feed: Feed, batch: int) -> DataFrame:
+    """Rows of a batch whose external id no earlier batch of the feed had; all rows without an id.
+
+    Rows of one batch that share an id all stay, in the order of the files.
     """
-    rows = (
-        spark.readStream.schema(schemas.FEED)
-        .option("maxFilesPerTrigger", feed.max_files)
-        .json(feed.inbox)
-    )
-    key = F.coalesce(F.col("_id"), F.concat(F.lit("#"), ids.row_hash(rows)))
-    return rows.withColumn("_seen_key", key).dropDuplicates(["_seen_key"]).drop("_seen_key")
+    rows = validate.parse_feed(lines.withColumn("_order", F.monotonically_increasing_id()))
+    seen = read_table(lines.sparkSession, feed.out, "seen", "external_id string")
+    earlier = seen.filter((F.col("feed") == feed.source) & (F.col("batch") < batch))
+    return rows.join(earlier.select(F.col("external_id").alias("_id")).distinct(), "_id", "left_anti")
 
 
 def _folder(feed: Feed, table: str, batch: int) -> str:
@@ -60,7 +64,9 @@ def read_table(spark: SparkSession, out: str, table: str, ddl: str) -> DataFrame
     """A result table over all feeds and batches; empty before the first write."""
     try:
         return spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return empty(spark, f"{ddl}, feed string, batch bigint")
 
 
@@ -71,24 +77,29 @@ def prior_ring_ids(spark: SparkSession, feed: Feed, batch: int) -> DataFrame:
     )
     return top(
         earlier.select("ring_id", "created_at"),
-        finding_ops.PRIOR_FINDINGS,
+        feed.prior_findings,
         F.desc("created_at"),
         "ring_id",
     )
 
 
 def process_batch(
-    rows: DataFrame,
+    lines: DataFrame,
     batch: int,
     feed: Feed,
     wh: Warehouse,
     index: resolve.MatchIndex,
 ) -> None:
-    """Validate, quarantine, resolve, analyse and store one micro-batch."""
-    spark = rows.sparkSession
+    """Validate, quarantine, resolve, analyse and store one micro-batch of feed lines (value)."""
+    spark = lines.sparkSession
     batch_id = f"{feed.source}-{batch}"
-    checked = validate.checked(rows, feed.source, F.lit(batch_id)).persist()
-    try:
+    provenance = {
+        "resource_id": F.lit(feed.resource_id).cast("string"),
+        "source_url": F.lit(feed.source_url).cast("string"),
+        "fetched_at": F.current_timestamp(),
+    }
+    with scratch(spark):
+        checked = checkpoint(validate.checked(new_rows(lines, feed, batch), feed.source, F.lit(batch_id)))
 
         def store(df: DataFrame, table: str) -> None:
             df.write.mode("overwrite").parquet(_folder(feed, table, batch))
@@ -97,16 +108,16 @@ def process_batch(
             validate.quarantine(checked, feed.source).withColumn("created_at", F.current_timestamp()),
             "quarantine",
         )
-        store(validate.ledger(checked, feed.source), "ledger")
+        store(validate.ledger(checked, feed.source).withColumns(provenance), "ledger")
         store(validate.source_progress(checked, feed.source), "source_progress")
         good = validate.valid_rows(checked)
-        resolved = resolve.resolve_rows(good, feed.source, index)
+        resolved = resolve.resolve_rows(good, feed.source, index, "_order")
         found = finding_ops.analyze(
-            wh, good, resolved, index, feed.source, prior_ring_ids(spark, feed, batch)
+            wh, good, resolved, index, feed.source, prior_ring_ids(spark, feed, batch), order="_order"
         )
-        store(found.withColumn("created_at", F.current_timestamp()), "findings")
-    finally:
-        checked.unpersist()
+        store(found.withColumn("created_at", F.current_timestamp()).withColumns(provenance), "findings")
+        # Last: only then does another batch pass the ids over.
+        store(checked.filter("trim(_id) <> ''").select(F.col("_id").alias("external_id")).distinct(), "seen")
 
 
 def start(
@@ -116,10 +127,10 @@ def start(
     checkpoint_dir: str,
     overrides: resolve.Overrides | None = None,
     once: bool = True,
+    index: resolve.MatchIndex | None = None,
 ) -> StreamingQuery:
     """Start the query of one feed: all that is there now (``once``) or continuously."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    index = resolve.build_index(wh, overrides)
+    index = index or resolve.build_index(wh, overrides)
     writer = (
         read_feed(spark, feed)
         .writeStream.queryName(f"ingest_{feed.source}")
@@ -142,10 +153,13 @@ def run_cycle(
     Returns the error text per source, None where it succeeded.
     """
     outcome: dict[str, str | None] = {}
-    for feed in feeds:
-        try:
-            start(spark, feed, wh, checkpoint_dir, overrides).awaitTermination()
-            outcome[feed.source] = None
-        except Exception as error:  # noqa: BLE001 - reported per source
-            outcome[feed.source] = str(error)
+    with scratch(spark):
+        # One index for all feeds, removed with the cycle.
+        index = resolve.build_index(wh, overrides)
+        for feed in feeds:
+            try:
+                start(spark, feed, wh, checkpoint_dir, overrides, index=index).awaitTermination()
+                outcome[feed.source] = None
+            except Exception as error:  # noqa: BLE001 - reported per source
+                outcome[feed.source] = str(error)
     return outcome

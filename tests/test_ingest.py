@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,12 +93,109 @@ def test_replay_gives_nothing_new_and_new_rows_expand(spark, feed, tmp_path):
 def test_replayed_batch_overwrites_its_own_output(spark, feed):
     wh = fixtures.three_entities(spark)
     index = resolve.build_index(wh)
-    data = spark.createDataFrame([tuple(GOOD.get(c) for c in ("_id", "recipient_legal_name", "recipient_business_number", "agreement_value")) + (None,) * 4], schemas.FEED)
+    data = spark.createDataFrame([(json.dumps(GOOD),)], "value string")
     for _ in range(2):
         ingest.process_batch(data, 3, feed, wh, index)
     assert rows(table(spark, feed, "findings"), "finding_type") == [("new_ring",)]
 
 
+LINES = [
+    json.dumps(GOOD),
+    json.dumps({**GOOD, "agreement_value": "300000", "programme": "arts"}),
+    json.dumps({**GOOD, "_id": " ", "note": "first"}),
+    json.dumps({**GOOD, "_id": " ", "note": "second"}),
+    json.dumps({**BAD, "extra": 1}),
+    json.dumps({**BAD, "extra": 2}),
+    "{broken",
+    "{broken",
+]
+
+
+def stored(spark, feed, name, drop=("created_at", "fetched_at", "run_at")):
+    df = table(spark, feed, name)
+    return rows(df.drop(*drop), *sorted(set(df.columns) - set(drop)))
+
+
+def test_no_row_of_a_batch_is_lost(spark, tmp_path):
+    wh = fixtures.three_entities(spark)
+    feed = ingest.Feed("fed_grants", str(tmp_path / "in"), str(tmp_path / "out"), resource_id="resource-1", source_url="https://example.org/feed")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(LINES))
+    assert ingest.run_cycle(spark, [feed], wh, str(tmp_path / "cp")) == {"fed_grants": None}
+    ledger = table(spark, feed, "ledger").first()
+    assert (ledger["raw_row_count"], ledger["valid_row_count"], ledger["quarantined_row_count"]) == (8, 2, 6)
+    assert ledger["resource_id"] == "resource-1" and ledger["fetched_at"] is not None
+    held = sorted(r["raw_row"] for r in table(spark, feed, "quarantine").collect())
+    assert held == sorted(LINES[2:])
+    (finding,) = table(spark, feed, "findings").collect()
+    # The last row of an id counts, in the order of the file.
+    assert finding["total_amount"] and "$300,000" in finding["narrative"]
+    assert (finding["resource_id"], finding["source_url"]) == ("resource-1", "https://example.org/feed")
+    # A replay of the batch adds nothing; neither do the same ids in a later file.
+    (tmp_path / "in" / "b.json").write_text(LINES[0])
+    ingest.run_cycle(spark, [feed], wh, str(tmp_path / "cp"))
+    assert table(spark, feed, "ledger").agg(F.sum("raw_row_count")).first()[0] == 8
+
+
+def test_batch_operators_and_stream_agree(spark, tmp_path):
+    wh = fixtures.three_entities(spark)
+    feed = ingest.Feed("fed_grants", str(tmp_path / "in"), str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(LINES))
+    ingest.run_cycle(spark, [feed], wh, str(tmp_path / "cp"))
+    lines = spark.read.text(feed.inbox).withColumn("_order", F.monotonically_increasing_id())
+    checked = validate.checked(validate.parse_feed(lines), "fed_grants", F.lit("fed_grants-0"))
+    good = validate.valid_rows(checked)
+    index = resolve.build_index(wh)
+    found = findings.analyze(
+        wh, good, resolve.resolve_rows(good, "fed_grants", index, "_order"), index, "fed_grants",
+        spark.createDataFrame([], "ring_id string"), order="_order",
+    )
+    for name, df in {
+        "quarantine": validate.quarantine(checked, "fed_grants"), "ledger": validate.ledger(checked, "fed_grants"), "findings": found,
+    }.items():
+        columns = sorted(df.columns)
+        assert rows(table(spark, feed, name), *columns) == rows(df, *columns)
+
+
+def test_fields_of_a_line(spark):
+    items = [{"_id": 7, "Donee BN": "1"}, {"_id": "8", "BN": None}, {"_id": "9", "BN": " "}, {"_id": "10", "BN": "123"}]
+    lines = spark.createDataFrame([(json.dumps(i),) for i in items], "value string")
+    checked = validate.checked(validate.parse_feed(lines), "cra_t3010", F.lit("b"))
+    assert rows(checked, "_id", "_errors") == [("10", []), ("7", []), ("8", ["BN is required"]), ("9", ["BN is required"])]
+    donee = spark.createDataFrame([('{"_id":"1","total_gifts":"5000"}',), ('{"_id":"2","Total Gifts":"12d"}',), ('{"_id":"3","Total Gifts":"0x1p3"}',)], "value string")
+    donee = validate.checked(validate.parse_feed(donee), "cra_donees", F.lit("b"))
+    assert rows(donee, "_id", F.size("_errors")) == [("1", 0), ("2", 1), ("3", 1)]
+    assert rows(donee.select("_id", findings.feed_amount(donee, "cra_donees").alias("a")).filter("a > 0")) == [("1", 5000.0)]
+    # The order of fields does not matter to the hash, an extra field does.
+    hashes = [validate.checked(validate.parse_feed(spark.createDataFrame([(t,)], "value string")), "x", F.lit("b")).first()["_row_hash"] for t in ('{"a":1,"_id":"2"}', '{"_id": "2", "a": 1}', '{"_id":"2"}')]
+    assert hashes[0] == hashes[1] != hashes[2]
+
+
+def test_a_cycle_leaves_no_intermediate_table(spark, feed, tmp_path):
+    from fundtrace import session
+
+    folder = session.checkpoint_folder(spark).removeprefix("file:")
+    wh = fixtures.three_entities(spark)
+    before = set(os.listdir(folder))
+    put(tmp_path / "in", "a.json", GOOD, BAD)
+    ingest.run_cycle(spark, [feed], wh, str(tmp_path / "cp"))
+    assert {n for n in os.listdir(folder) if n.startswith("table-")} <= before
+
+
+def test_known_rings_of_any_age(spark, feed):
+    wh = fixtures.three_entities(spark)
+    index = resolve.build_index(wh)
+    for prior, batch in ((None, 1), (0, 2)):
+        one = ingest.Feed(feed.source, feed.inbox, feed.out, prior_findings=prior)
+        ingest.process_batch(spark.createDataFrame([(json.dumps({**GOOD, "_id": str(batch)}),)], "value string"), batch, one, wh, index)
+    kinds = rows(table(spark, feed, "findings"), "batch", "finding_type")
+    assert kinds == [(1, "new_ring"), (2, "new_ring")]
+    everything = ingest.Feed(feed.source, feed.inbox, feed.out, prior_findings=None)
+    ingest.process_batch(spark.createDataFrame([(json.dumps({**GOOD, "_id": "3"}),)], "value string"), 3, everything, wh, index)
+    assert (3, "expanded_ring") in rows(table(spark, feed, "findings"), "batch", "finding_type")
+
+
 def test_one_failing_feed_does_not_stop_the_others(spark, feed, tmp_path):
     wh = fixtures.three_entities(spark)
     put(tmp_path / "in", "a.json", GOOD)

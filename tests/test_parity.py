@@ -13,10 +13,6 @@ SF_DIR = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
 
-# Long compositions of operators that test_pipeline and test_ingest cover; PARITY_ALL=1 runs them too.
-LONG = ("er4", "er3", "st7", "st9", "st10", "st11", "cd1", "cd3", "g11", "g12", "g13", "g14", "g15", "q18", "sc4")
-CHOSEN = [n for n in QUERIES if os.environ.get("PARITY_ALL") or not n.startswith(LONG)]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
 
@@ -25,7 +21,7 @@ def duck():
     return parity.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     if name in SQL:
         assert parity.compare(spark, duck, SF_DIR, name, QUERIES[name], SQL[name]) is None
