@@ -10,13 +10,13 @@ LONGEST = 1 << 26  # bits: 8 MB
 
 
 def bit_map(tokens: DataFrame, longest: int = LONGEST) -> np.ndarray:
-    """Set the bits of the low hash bits of ``tokens`` (token): 16 bits a token, at most ``longest`` in all.
+    """Set the bits of the low hash bits of ``tokens`` (token): 128 bits a token, at most ``longest`` in all.
 
     Only the map reaches the driver, never the tokens. Where tokens outgrow it, more bits are set than
     need be; callers take a set bit as "maybe".
     """
     bits = 1 << 16
-    while bits < min(16 * tokens.count(), longest):
+    while bits < min(128 * tokens.count(), longest):
         bits <<= 1
     slots = tokens.select(F.col("token").bitwiseAND(bits - 1).alias("slot"))
     parts = slots.groupBy(F.expr("slot >> 6").alias("at")).agg(F.expr("bit_or(1L << int(slot & 63))").alias("bits"))
