@@ -120,26 +120,32 @@ def contexts(docs: DataFrame) -> DataFrame:
     return out.select("row", "text_id", "entity", F.lower("t.term").alias("term"), "t.start", "t.end").filter(F.col("term").rlike(r"^\p{L}[\p{L}\p{M}'.,;:!?-]*$"))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosed): the share of an entity's information that a term gives away.
+def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosed): the share of an entity's information that a term gives away, from ``least`` on.
 
-    Documents are distinct texts. Terms are counted over all documents, entities over those that have them.
+    Documents are distinct texts. Terms are counted over all documents, entities over those that have them. A term
+    that disclosed that much could stand in no more than both * (total / of_entity) ^ (1 - least) documents; if it
+    is near entities in more already, the rest of the corpus need not be searched for it.
     """
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = texts.select(F.xxhash64("text").alias("text_id")).agg(F.countDistinct("text_id").alias("total"))
+    entities = near.groupBy("entity").agg(F.countDistinct("text_id").alias("of_entity"))
+    seen = near.groupBy("term").agg(F.countDistinct("text_id").alias("seen"))
     both = near.groupBy("entity", "term").agg(F.countDistinct("text_id").alias("both")).filter(F.col("both") >= support)
-    both = table(both)
+    both = both.join(entities, "entity").join(seen, "term").join(F.broadcast(total), F.lit(True))  # one row
+    most = F.col("both") * F.pow(F.col("total") / F.col("of_entity"), F.lit(1 - least))
+    both = table(both.filter(F.col("seen") <= most).drop("seen"))
     if both.isEmpty():
         return both.select("entity", "term", F.lit(0.0).alias("disclosed"))
-    entities = near.groupBy("entity").agg(F.countDistinct("text_id").alias("of_entity"))
     wanted = table(both.select("term").distinct())
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # The number of documents, and per candidate term its documents; texts are compared by their hash.
+    # Per candidate term its documents; texts are compared by their hash.
     used = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("term"))
     terms = used.join(wanted, "term").groupBy("term").agg(F.countDistinct("text_id").alias("of_term"))
-    total = texts.select(F.xxhash64("text").alias("text_id")).agg(F.countDistinct("text_id").alias("total"))
-    scored = both.join(terms, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))  # one row
+    scored = both.join(terms, "term")
     information = F.log2(F.col("total") / F.col("of_entity"))
     shared = F.log2(F.col("both") * F.col("total") / (F.col("of_entity") * F.col("of_term")))
-    return scored.select("entity", "term", F.when(information > 0, shared / information).otherwise(F.lit(0.0)).alias("disclosed"))
+    disclosed = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
+    return scored.select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= least)
 
 
 def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
@@ -149,7 +155,7 @@ def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     ``removed`` or ``generalised``.
     """
     near = table(contexts(docs))
-    known = table(disclosures(docs, near, support).filter(F.col("disclosed") >= generalise))
+    known = table(disclosures(docs, near, support, generalise))
     told = near.join(known, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed"))
     told = told.select(
         "row",
