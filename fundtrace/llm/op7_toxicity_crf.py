@@ -5,7 +5,7 @@ toxic than in other labelled documents are chosen greedily until toxic documents
 word of a toxic document that has one of them is a toxic token. The CRF learns from these tokens with hashed
 features (the word, its first bytes). A chain is a line of words, lines of more than ``CHAIN`` words are
 several chains. A document's score is a logistic function of its largest marginal and of the sum of those
-over one half, so that many harmless words do not add up.
+over a quarter, so that many harmless words do not add up.
 """
 
 from __future__ import annotations
@@ -68,12 +68,12 @@ class Tokens:
         return total
 
     def document_features(self, p: np.ndarray) -> np.ndarray:
-        """Per row: largest marginal, log of one plus the sum of those over one half."""
+        """Per row: largest marginal, log of one plus the sum of those over a quarter."""
         out = np.zeros((len(self.bounds) - 1, 2))
         full = np.flatnonzero(np.diff(self.bounds) > 0)
         if len(full):
             out[full, 0] = np.maximum.reduceat(p, self.bounds[full])
-            out[full, 1] = np.log1p(np.add.reduceat(np.where(p > 0.5, p, 0), self.bounds[full]))
+            out[full, 1] = np.log1p(np.add.reduceat(np.where(p > 0.25, p, 0), self.bounds[full]))
         return out
 
 
