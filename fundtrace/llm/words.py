@@ -34,17 +34,26 @@ PUNCTUATION = separators(bytes(b for b in range(128) if not chr(b).isalnum()))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: list[np.ndarray] = []
 
+class _Powers:
+    """Powers of the multiplier and of its inverse, made where they are used and never sent along."""
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < size:
-        size = max(size, BLOCK + (BLOCK >> 2))
-        inverse = pow(_MULTIPLIER, -1, 1 << 64)
-        up, down = np.full(size, _MULTIPLIER, _U), np.full(size, inverse, _U)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)]
-    return _powers[0], _powers[1]
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __getstate__(self) -> dict:
+        return {"up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
+
+    def tables(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < size:
+            size = max(size, BLOCK + (BLOCK >> 2))
+            up, down = np.full(size, _MULTIPLIER, _U), np.full(size, pow(_MULTIPLIER, -1, 1 << 64), _U)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,7 +119,7 @@ class Words:
         hashes, begins, ends = [], [], []
         parts: list[list[np.ndarray]] = [[] for _ in prefixes]
         for a, b, starts, stops in positions(self.data, self.offsets, separator):
-            up, down = _power_tables(b - a + 1)
+            up, down = _POWERS.tables(b - a + 1)
             block = self.data[a:b] if lower is None else lower[self.data[a:b]]
             total = np.empty(b - a + 1, _U)
             total[0] = 0
