@@ -25,8 +25,13 @@ FILED = {
 }
 
 
-def _row_json(df: DataFrame) -> F.Column:
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+def _packed(df: DataFrame) -> F.Column:
+    """The whole row as one column; it becomes JSON only where a request has found it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole")
+
+
+def _row_json() -> F.Column:
+    return F.to_json("_whole", {"ignoreNullFields": "false"}).alias("row")
 
 
 def evidence_for_edges(wh: Warehouse, requests: DataFrame) -> DataFrame:
@@ -52,9 +57,9 @@ def evidence_for_edges(wh: Warehouse, requests: DataFrame) -> DataFrame:
             )
         )
         found.append(
-            rows.withColumn("row", _row_json(rows))
+            rows.select("bn", "fpe", "sequence_number", _packed(rows))
             .join(keys, ["bn", "fpe", "sequence_number"])
-            .select("source", "source_row_id", F.lit(label).alias("table_name"), "row")
+            .select("source", "source_row_id", F.lit(label).alias("table_name"), _row_json())
         )
     pairs = (
         wanted.filter((F.col("source") == "cra_gift") & (F.size(parts) == 2))
@@ -73,11 +78,11 @@ def evidence_for_edges(wh: Warehouse, requests: DataFrame) -> DataFrame:
     for label, table, key in sorted(set(KEYED.values())):
         sources = [s for s, spec in KEYED.items() if spec[1] == table]
         rows = wh.table(table)
-        keyed = rows.select(F.col(key).cast("string").alias("source_row_id"), _row_json(rows).alias("row"))
+        keyed = rows.select(F.col(key).cast("string").alias("source_row_id"), _packed(rows))
         found.append(
             wanted.filter(F.col("source").isin(sources))
             .join(keyed, "source_row_id")
-            .select("source", "source_row_id", F.lit(label).alias("table_name"), "row")
+            .select("source", "source_row_id", F.lit(label).alias("table_name"), _row_json())
         )
     return (
         reduce(DataFrame.unionByName, found)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fundtrace.operators import cycles, directors, edges, entities
 from fundtrace.operators.directors import NAME
 from fundtrace.operators.rings import DIRECTOR_FLAG, ROUND_TRIP
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse
 
 CONCENTRATED = "Concentrated funding sources"
@@ -27,6 +28,10 @@ RULES = {
 }
 
 
+# Cycles, director names and sole-source rows a score looks at by default.
+LARGEST = 5_000
+
+
 def _evidence(rows: DataFrame, rule: str, source, row_id, method=None, confidence=None) -> DataFrame:
     weight, order, label = RULES[rule]
     return rows.select(
@@ -50,20 +55,26 @@ def rule_funding_concentration(wh: Warehouse) -> DataFrame:
     )
 
 
-def rule_cycle_member(wh: Warehouse) -> DataFrame:
-    """One evidence row per cycle an entity is in, among the 5000 largest."""
+def _largest_cycle_members(wh: Warehouse, limit: int | None) -> DataFrame:
+    few = limit is not None and limit <= cycles.BROADCAST_LOOPS
+    return cycles.members(wh, cycles.top_cycles(wh, limit), bounded=few)
+
+
+def rule_cycle_member(wh: Warehouse, limit: int | None = LARGEST) -> DataFrame:
+    """One evidence row per cycle an entity is in, among the ``limit`` largest; None takes all."""
     hit = (
-        cycles.members(wh, cycles.top_cycles(wh), bounded=True)
+        _largest_cycle_members(wh, limit)
         .select("entity_id", "cycle_id")
         .distinct()
     )
     return _evidence(hit, "cycle_member", F.lit("cra_cycle"), F.col("cycle_id"))
 
 
-def rule_shared_director(wh: Warehouse, min_orgs: int = 3) -> DataFrame:
-    """One evidence row per director filing whose name is a shared-director candidate."""
-    # At most 5000 names by the candidate report's own limit.
-    chosen = F.broadcast(directors.shared_director_counts(wh, min_orgs))
+def rule_shared_director(wh: Warehouse, min_orgs: int = 3, limit: int | None = LARGEST) -> DataFrame:
+    """One evidence row per director filing whose name is among the ``limit`` first candidates."""
+    chosen = directors.shared_director_counts(wh, min_orgs, limit)
+    if limit is not None and limit <= cycles.BROADCAST_LOOPS:
+        chosen = F.broadcast(chosen)
     hit = directors.directors_for_org(wh).join(chosen, NAME)
     return _evidence(hit, "shared_director", F.lit("cra_director"), F.col("source_row_id"))
 
@@ -87,12 +98,14 @@ def rule_related_entity(wh: Warehouse) -> DataFrame:
     lists_itself = related.filter("entity_id = related_entity_id").select(
         "entity_id", F.lit(True).alias("_self")
     )
-    copies = edges.funding_edges(wh).withColumn(
+    # Few entities list others: their edges are looked up, the rest are never copied per entity.
+    listing = related.select("entity_id").distinct()
+    copies = edges.funding_edges(wh).join(listing, "entity_id", "left_semi").withColumn(
         "related_entity_id",
         F.when(F.col("role") == "out", F.col("to_entity_id")).otherwise(F.col("from_entity_id")),
     )
     hit = (
-        copies.join(related.select("entity_id").distinct(), "entity_id", "left_semi")
+        copies
         .join(related.withColumn("_other", F.lit(True)), ["entity_id", "related_entity_id"], "left")
         .join(lists_itself, "entity_id", "left")
         .filter("_other OR _self")
@@ -103,14 +116,14 @@ def rule_related_entity(wh: Warehouse) -> DataFrame:
     )
 
 
-def all_evidence(wh: Warehouse) -> DataFrame:
-    """Evidence of all five rules, one row per finding."""
+def all_evidence(wh: Warehouse, limit: int | None = LARGEST) -> DataFrame:
+    """Evidence of all five rules, one row per finding; ``limit`` bounds cycles and director names."""
     return reduce(
         DataFrame.unionByName,
         [
             rule_funding_concentration(wh),
-            rule_cycle_member(wh),
-            rule_shared_director(wh),
+            rule_cycle_member(wh, limit),
+            rule_shared_director(wh, limit=limit),
             rule_sole_source(wh),
             rule_related_entity(wh),
         ],
@@ -137,20 +150,26 @@ def score_entities(evidence: DataFrame) -> DataFrame:
     )
 
 
-def candidate_entities(wh: Warehouse) -> DataFrame:
+def candidate_entities(wh: Warehouse, limit: int | None = LARGEST) -> DataFrame:
     """Members of the largest cycles, of shared-director candidates and of sole-source vendors' clients."""
     return (
-        cycles.members(wh, cycles.top_cycles(wh), bounded=True)
+        _largest_cycle_members(wh, limit)
         .select("entity_id")
-        .unionByName(directors.shared_director_candidates(wh, 3).select("entity_id"))
-        .unionByName(edges.sole_source_flags(wh).select("entity_id"))
+        .unionByName(directors.shared_director_candidates(wh, 3, limit).select("entity_id"))
+        .unionByName(edges.sole_source_flags(wh, limit).select("entity_id"))
         .distinct()
     )
 
 
-def score_all(wh: Warehouse, top_n: int | None = 200) -> DataFrame:
-    """The ``top_n`` best-scored candidates with their names."""
-    scored = score_entities(all_evidence(wh)).join(candidate_entities(wh), "entity_id", "left_semi")
+def score_all(wh: Warehouse, top_n: int | None = 200, limit: int | None = LARGEST) -> DataFrame:
+    """The ``top_n`` best-scored candidates with their names.
+
+    ``limit`` bounds the cycles, director names and sole-source rows that are looked at; None lifts it.
+    """
+    # Read by every rule: evidence is only gathered for candidates.
+    wanted = checkpoint(candidate_entities(wh, limit))
+    evidence = all_evidence(wh, limit).join(wanted, "entity_id", "left_semi")
+    scored = score_entities(evidence)
     lookup = wh.entities.select(F.col("id").alias("entity_id"), "canonical_name")
     named = (
         scored.filter("total_score > 0")
