@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -506,7 +507,7 @@ def _profiles(r: Run) -> DataFrame:
     return checkpoint(linkage.profiles(linkage.extract_records(r.wh)))
 
 
-def _profile_text(found: DataFrame, rows: DataFrame) -> DataFrame:
+def _profile_text(found: DataFrame, rows: DataFrame, *more) -> DataFrame:
     text = F.concat_ws(
         "/", *[F.coalesce(F.col(c), F.lit("-")) for c in linkage.COMPARED]
     )
@@ -518,6 +519,7 @@ def _profile_text(found: DataFrame, rows: DataFrame) -> DataFrame:
         .select(
             F.least("left_text", "right_text").alias("a"),
             F.greatest("left_text", "right_text").alias("b"),
+            *more,
         )
     )
 
@@ -532,6 +534,58 @@ def _(r: Run):
     )
 
 
+@query("er3_compared_pairs")
+def _(r: Run):
+    """The pairs themselves with their levels, as texts."""
+    rows = _profiles(r)
+    return _profile_text(linkage.compare(linkage.candidate_pairs(rows), rows), rows, *linkage.GAMMAS)
+
+
+# A model of given numbers, so that predictions can be recomputed elsewhere.
+FIXED_MODEL = linkage.Model(
+    m={
+        "bn_root": np.array([0.1, 0.9]),
+        "cleaned_name": np.array([0.05, 0.05, 0.1, 0.8]),
+        "city": np.array([0.2, 0.8]),
+        "province": np.array([0.1, 0.9]),
+        "entity_type": np.array([0.1, 0.9]),
+    },
+    u={
+        "bn_root": np.array([0.999, 0.001]),
+        "cleaned_name": np.array([0.97, 0.015, 0.01, 0.005]),
+        "city": np.array([0.9, 0.1]),
+        "province": np.array([0.8, 0.2]),
+        "entity_type": np.array([0.5, 0.5]),
+    },
+    prior=0.001,
+)
+
+
+@query("er4_fixed_predictions")
+def _(r: Run):
+    rows = _profiles(r)
+    found = checkpoint(linkage.predict(rows, FIXED_MODEL))
+    rounded = [F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability")]
+    return _profile_text(found, rows, *linkage.GAMMAS, *rounded)
+
+
+@query("er4_fixed_clusters")
+def _(r: Run):
+    """Each profile with the alphabetically first of its cluster."""
+    rows = _profiles(r)
+    placed = linkage.clusters(rows, checkpoint(linkage.predict(rows, FIXED_MODEL)))
+    text = F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("-")) for c in linkage.COMPARED])
+    named = placed.join(rows.select("profile_id", text.alias("profile")), "profile_id")
+    first = named.groupBy("cluster_id").agg(F.min("profile").alias("first_profile"))
+    return named.join(first, "cluster_id").select("profile", "first_profile")
+
+
+@query("er4b_entity_profiles")
+def _(r: Run):
+    """The groups behind the candidates: which entities share a whole profile."""
+    return linkage.entity_profiles(linkage.extract_records(r.wh)).drop("profile_id")
+
+
 @query("er4_predictions")
 def _(r: Run):
     return linkage.run_linkage(r.wh).predictions

@@ -60,6 +60,10 @@ def _clean(value: str) -> str:
     return f"coalesce(upper(trim(regexp_replace({text}, '\\s+', ' ', 'g'))), '')"
 
 
+def _level(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN -1 WHEN {a} = {b} THEN 1 ELSE 0 END"
+
+
 _RID = "concat_ws('|', {a}.bn, CAST({a}.fpe AS VARCHAR), CAST({a}.sequence_number AS VARCHAR))"
 _LARGE = (
     "contains(lower(n), 'salvation army') OR contains(lower(n), 'red cross') OR contains(lower(n), 'united way') OR "
@@ -429,6 +433,32 @@ SHARED: dict[str, str] = {
             "a.city = b.city AND left(a.cleaned_name, 5) = left(b.cleaned_name, 5)",
         )
     ),
+    # Linkage under a model of given numbers; equality of number or name weighs by the value's own share.
+    "both_profiles": (
+        "SELECT p.a, p.b, x AS l, y AS r FROM (SELECT a, b FROM blocked UNION ALL SELECT txt, txt FROM profiles WHERE n > 1) p "
+        "JOIN profiles x ON x.txt = p.a JOIN profiles y ON y.txt = p.b"
+    ),
+    "all_leveled": (
+        f"SELECT a, b, l, CAST({_level('l.bn_root', 'r.bn_root')} AS INTEGER) AS g_bn_root, CAST(CASE WHEN l.cleaned_name = r.cleaned_name THEN 3 "
+        "WHEN jaro_winkler_similarity(l.cleaned_name, r.cleaned_name) >= 0.92 THEN 2 WHEN jaro_winkler_similarity(l.cleaned_name, r.cleaned_name) >= 0.82 THEN 1 ELSE 0 END AS INTEGER) AS g_cleaned_name, "
+        f"CAST({_level('l.city', 'r.city')} AS INTEGER) AS g_city, CAST({_level('l.province', 'r.province')} AS INTEGER) AS g_province, "
+        f"CAST({_level('l.entity_type', 'r.entity_type')} AS INTEGER) AS g_entity_type FROM both_profiles"
+    ),
+    "leveled": "SELECT * FROM all_leveled WHERE a <> b",
+    "number_share": "SELECT bn_root, sum(n) / (SELECT sum(n) FROM profiles WHERE bn_root IS NOT NULL) AS f FROM profiles WHERE bn_root IS NOT NULL GROUP BY 1",
+    "name_share": "SELECT cleaned_name, sum(n) / (SELECT sum(n) FROM profiles) AS f FROM profiles GROUP BY 1",
+    "fixed_weights": (
+        "SELECT v.*, log2(0.001 / 0.999) + CASE g_bn_root WHEN 1 THEN log2(0.9 / s.f) WHEN 0 THEN log2(0.1 / 0.999) ELSE 0 END "
+        "+ CASE g_cleaned_name WHEN 3 THEN log2(0.8 / t.f) WHEN 2 THEN log2(0.1 / 0.01) WHEN 1 THEN log2(0.05 / 0.015) ELSE log2(0.05 / 0.97) END "
+        "+ CASE g_city WHEN 1 THEN log2(0.8 / 0.1) WHEN 0 THEN log2(0.2 / 0.9) ELSE 0 END + CASE g_province WHEN 1 THEN log2(0.9 / 0.2) WHEN 0 THEN log2(0.1 / 0.8) ELSE 0 END "
+        "+ CASE g_entity_type WHEN 1 THEN log2(0.9 / 0.5) WHEN 0 THEN log2(0.1 / 0.5) ELSE 0 END AS w "
+        "FROM all_leveled v LEFT JOIN number_share s ON s.bn_root = v.l.bn_root LEFT JOIN name_share t ON t.cleaned_name = v.l.cleaned_name"
+    ),
+    "fixed_predictions": "SELECT * FROM (SELECT *, 1 / (1 + pow(2.0, -w)) AS p FROM fixed_weights) WHERE p >= 0.4",
+    "fixed_links": "SELECT a AS x, b AS y FROM fixed_predictions WHERE a <> b UNION SELECT b, a FROM fixed_predictions WHERE a <> b",
+    "fixed_reach": (
+        "WITH RECURSIVE reached AS (SELECT txt, txt AS y FROM profiles UNION SELECT r.txt, e.y FROM reached r JOIN fixed_links e ON e.x = r.y) SELECT * FROM reached"
+    ),
     # Review and resolution.
     "decided": (
         "SELECT c.*, coalesce(d.status, CASE WHEN match_probability >= 0.97 THEN 'likely_same' WHEN match_probability >= 0.7 THEN 'needs_review' ELSE 'audit' END) AS status, "
@@ -533,7 +563,7 @@ SHARED["finding_rows"] = (
 _MATERIALIZED = {
     "loops", "loop_edges", "headers", "cycle_lists", "filings", "org_directors", "money", "copies", "gift_graph", "records", "profiles",
     "party_rings", "warm", "graph", "address_parts", "alias_items", "name_index", "survivors", "alias_overrides", "entity_named", "golden_text",
-    "checked", "hits_raw", "hits_good", "resolved_raw", "resolved_good", "crossover", "raw_records", "decided", "entity_source_links",
+    "checked", "fixed_predictions", "fixed_links", "all_leveled", "hits_raw", "hits_good", "resolved_raw", "resolved_good", "crossover", "raw_records", "decided", "entity_source_links",
 }
 
 
@@ -577,10 +607,6 @@ _EDGE_COLOR = (
 _TOP_RING = "(SELECT entity_id FROM header_members WHERE cycle_id = (SELECT cycle_id FROM headers ORDER BY total_amount DESC, cycle_id LIMIT 1))"
 
 
-def _level(a: str, b: str) -> str:
-    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN -1 WHEN {a} = {b} THEN 1 ELSE 0 END"
-
-
 BODIES: dict[str, str] = {
     "q01_golden_records": (
         "SELECT e.id AS entity_id, any_value(e.canonical_name) AS canonical_name, coalesce(any_value(e.entity_type), 'unknown') AS entity_type, "
@@ -823,6 +849,17 @@ BODIES: dict[str, str] = {
         f"CAST({_level('a.province', 'b.province')} AS BIGINT) AS g_province, CAST({_level('a.entity_type', 'b.entity_type')} AS BIGINT) AS g_entity_type, count(*) AS pair_count "
         "FROM blocked p JOIN profiles a ON a.txt = p.a JOIN profiles b ON b.txt = p.b GROUP BY 1, 2, 3, 4, 5"
     ),
+    "er3_compared_pairs": "SELECT a, b, g_bn_root, g_cleaned_name, g_city, g_province, g_entity_type FROM leveled",
+    "er4_fixed_predictions": (
+        "SELECT a, b, g_bn_root, g_cleaned_name, g_city, g_province, g_entity_type, round(w, 6) AS match_weight, round(p, 6) AS match_probability FROM fixed_predictions"
+    ),
+    "er4_fixed_clusters": (
+        "SELECT txt AS profile, min(y) AS first_profile FROM fixed_reach GROUP BY txt"
+    ),
+    "er4b_entity_profiles": (
+        "SELECT entity_id, record_id, legal_name, cleaned_name, bn_root, city, province, source_dataset, source_count FROM records "
+        "QUALIFY row_number() OVER (PARTITION BY entity_id, bn_root, cleaned_name, city, province, entity_type ORDER BY record_id) = 1"
+    ),
     **{
         f"er5_resolve_{s}": f"SELECT ext_id AS external_id, entity_id, mapping_method, CAST(confidence_score AS DOUBLE) AS confidence_score FROM listed_raw WHERE source = '{s}'"
         for s in ("fed_grants", "cra_t3010", "cra_donees")
