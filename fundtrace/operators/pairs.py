@@ -9,6 +9,7 @@ from fundtrace.functions import ids, names
 from fundtrace.operators.directors import NAME, name_entities
 from fundtrace.operators.edges import linked
 from fundtrace.operators.entities import id_by_root, named, top
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse
 
 
@@ -31,19 +32,20 @@ def gift_pair_totals(wh: Warehouse) -> DataFrame:
     )
 
 
-def _with_first_row(wh: Warehouse, totals: DataFrame) -> DataFrame:
-    """Add the smallest gift row id of each pair.
+def _with_first_row(wh: Warehouse, chosen: DataFrame, limit: int | None) -> DataFrame:
+    """Replace root_x and root_y by the smallest gift row id of that pair of numbers.
 
-    A text minimum sorts its input, so it is taken for the pairs that passed the threshold only.
+    It is looked up for the reported pairs alone: a report of bounded length is sent to the gifts, so they
+    are not shuffled a second time.
     """
     keys = ["root_x", "root_y"]
-    first = (
-        _pair_gifts(wh)
-        .join(totals.select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.min("source_row_id").alias("source_row_id"))
-    )
-    return totals.join(first, keys)
+    # Used by the look-up and by the report.
+    chosen = checkpoint(chosen)
+    wanted = chosen.select(*keys).distinct()
+    if limit is not None and limit <= 10_000:
+        wanted = F.broadcast(wanted)
+    first = _pair_gifts(wh).join(wanted, keys).groupBy(*keys).agg(F.min("source_row_id").alias("source_row_id"))
+    return chosen.join(first, keys).drop(*keys)
 
 
 def _entity_pairs(totals: DataFrame, entities: DataFrame) -> DataFrame:
@@ -71,18 +73,18 @@ def shared_director_funding_pairs(
     No two entities are paired for sharing a name; money finds the pairs and the names are then
     looked up, which bounds the work by the gifts.
     """
-    totals = _with_first_row(
-        wh, gift_pair_totals(wh).filter(F.col("total") >= F.lit(min_total_amount))
-    )
+    totals = gift_pair_totals(wh).filter(F.col("total") >= F.lit(min_total_amount))
     held = name_entities(wh, active_only=True, funded_only=True).select("entity_id", NAME)
     found = _sharing_a_name(_entity_pairs(totals, wh.active_entities), held).select(
         NAME,
         "entity_id_a",
         "entity_id_b",
         F.col("total").cast("double").alias("total_amount"),
-        "source_row_id",
+        "root_x",
+        "root_y",
     )
-    return top(found, limit, F.desc("total_amount"), NAME, "entity_id_a", "entity_id_b")
+    order = [F.desc("total_amount"), F.col(NAME), F.col("entity_id_a"), F.col("entity_id_b")]
+    return _with_first_row(wh, top(found, limit, *order), limit).orderBy(*order)
 
 
 def director_funding_pairs_fast(
@@ -93,11 +95,10 @@ def director_funding_pairs_fast(
     Two entities under one number see every gift between them from both ends, so it counts twice.
     """
     times = F.when(F.col("root_x") == F.col("root_y"), 2).otherwise(1)
-    totals = _with_first_row(
-        wh,
+    totals = (
         gift_pair_totals(wh)
         .withColumns({"total": F.col("total") * times, "gift_count": F.col("gift_count") * times})
-        .filter(F.col("total") >= F.lit(min_amount)),
+        .filter(F.col("total") >= F.lit(min_amount))
     )
     held = name_entities(wh).filter(F.length(NAME) > 4).select("entity_id", NAME)
     found = _sharing_a_name(_entity_pairs(totals, wh.entities), held).select(
@@ -105,10 +106,12 @@ def director_funding_pairs_fast(
         "entity_id_a",
         "entity_id_b",
         F.col("total").cast("double").alias("total_amount"),
-        "source_row_id",
+        "root_x",
+        "root_y",
         "gift_count",
     )
-    return top(found, limit, F.desc("total_amount"), "entity_id_a", "entity_id_b", NAME)
+    order = [F.desc("total_amount"), F.col("entity_id_a"), F.col("entity_id_b"), F.col(NAME)]
+    return _with_first_row(wh, top(found, limit, *order), limit).orderBy(*order)
 
 
 def director_rings_table(wh: Warehouse, min_amount: float = 100_000, limit: int = 200) -> DataFrame:
