@@ -187,6 +187,12 @@ def _similar(x: str, y: str, common: F.Column) -> F.Column:
     return 100 * common >= PERCENT * (F.col(x) + F.col(y) - common)
 
 
+def _shared(pairs: DataFrame) -> DataFrame:
+    """Shared single tokens and combinations of each pair (a, b, one, shares)."""
+    one = F.col("one").cast("int")
+    return pairs.groupBy("a", "b").agg(F.sum(one).alias("shared"), F.sum(1 - one).alias("combined"), F.first("shares").alias("shares"))
+
+
 def _possible(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs (a, b, shared, combined) whose sizes and shared signatures leave a link possible.
 
@@ -195,25 +201,30 @@ def _possible(pairs: DataFrame, index: DataFrame) -> DataFrame:
     which m frequent tokens are shared gives m - 1 or more shared combinations, so the frequent ones shared
     are no more than groups and shared combinations together.
     """
+    columns = pairs.columns
     for side in ("a", "b"):
         facts = index.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "taken", "often", "groups")))
         pairs = pairs.join(facts, F.col(side) == F.col(f"node_{side}")).drop(f"node_{side}")
     often = F.least("often_a", "often_b", F.least("groups_a", "groups_b") + F.col("combined"))
     most = F.col("shared") + often + F.greatest(F.col("n_a") - F.col("taken_a"), F.col("n_b") - F.col("taken_b"))
     most = F.least(most, F.col("n_a"), F.col("n_b"))
-    return pairs.filter(_similar("n_a", "n_b", most)).select("a", "b")
+    return pairs.filter(_similar("n_a", "n_b", most)).select(*columns)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough, as a table."""
     pairs = table(pairs)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = table(whole_sets(docs, table(ends.join(nodes, "node").select("node", "key", "digest")), shingle))
+    wanted = table(ends.join(nodes, "node").select("node", "key", "digest"))
+    sets = table(whole_sets(docs, wanted, shingle))
+    both = pairs
     for side in ("a", "b"):
         own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("own").alias(f"own_{side}"))
-        pairs = pairs.join(own, side)
-    linked = pairs.filter(_similar("n_a", "n_b", F.size(F.array_intersect("own_a", "own_b"))))
-    return table(linked.select("a", "b"))
+        both = both.join(own, side)
+    linked = both.filter(_similar("n_a", "n_b", F.size(F.array_intersect("own_a", "own_b"))))
+    linked = table(linked.select("a", "b"))
+    drop(pairs, wanted, sets)
+    return linked
 
 
 def _placed(entries: DataFrame, joined: DataFrame) -> DataFrame:
@@ -221,19 +232,24 @@ def _placed(entries: DataFrame, joined: DataFrame) -> DataFrame:
     placed = entries.join(joined, "node", "left").select("mark", "node", "one", "shares", F.coalesce("component", "node").alias("component"))
     placed = table(placed)
     mixed = placed.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return table(placed.join(table(mixed.select("mark", "low")).filter("low >= 0").select("mark"), "mark"))
+    mixed = table(mixed.select("mark", "low"))
+    chosen = table(placed.join(mixed.filter("low >= 0").select("mark"), "mark"))
+    drop(placed, mixed)
+    return chosen
 
 
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = FREQUENT):
     """Tables of the rows (doc_id, n, digest), of the classes, and of links that join their components."""
     spark = prepare(docs.sparkSession)
-    rows = table(shingle_table(docs, shingle))
+    found = table(shingle_table(docs, shingle))
+    rows = table(found.drop("low"))
     classes = rows.filter("n > 0").groupBy("digest").agg(
         F.min(F.struct("row", "key")).alias("first"), F.min("doc_id").alias("least_id"), F.first("n").alias("n")
     )
     nodes = table(classes.select("digest", "least_id", "n", F.col("first.row").alias("node"), F.col("first.key").alias("key")))
     chosen = nodes.filter("node >= 0").select(F.col("node").alias("row"))
-    sets = table(rows.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "n", F.col("low").alias("own")))
+    sets = table(found.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "n", F.col("low").alias("own")))
+    drop(found)
 
     def often(own: DataFrame) -> DataFrame:
         counted = own.select(F.explode("own").alias("token")).groupBy("token").count()
@@ -253,9 +269,12 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
     bits = known(table(low.unionByName(often(wide)).distinct()))
     narrow = sets.join(first.filter("taken >= 0").select("node"), "node", "left_semi")
     second = table(_index(narrow, bits, False))
-    index = second.filter("taken >= 0").unionByName(_index(wide, bits, True)).unionByName(_index(whole(second), bits, True))
+    drop(sets, low, first)
+    more = whole(second)
+    index = second.filter("taken >= 0").unionByName(_index(wide, bits, True)).unionByName(_index(more, bits, True))
     index = table(index)
-    drop(sets, low, first, second)
+    facts = table(index.select("node", "n", "taken", "often", "groups"))
+    drop(wide, more, second)
 
     lists = (("single", True), ("pair", False))
     entries = None
@@ -265,35 +284,41 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
     marks = entries.groupBy("mark").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("of"))
     marks = table(marks.filter("least < most").select("mark", "of"))
     # What is left are the signatures that several classes share.
-    entries = table(entries.join(marks.filter("of > 1"), "mark"))
+    counted = table(entries.join(marks.filter("of > 1"), "mark"))
+    drop(index, marks)
     # The text others were copied from shares its signatures with most of them.
-    shares = table(entries.groupBy("node").agg(F.sum("of").alias("shares")))
-    entries = table(entries.join(shares, "node").select("mark", "node", "one", "shares"))
+    shares = table(counted.groupBy("node").agg(F.sum("of").alias("shares")))
+    entries = table(counted.join(shares, "node").select("mark", "node", "one", "shares"))
+    drop(counted, shares)
 
     links, joined = None, table(nodes.limit(0).select("node", F.col("node").alias("component")))
     for _ in range(STARS):
         # Each class with the most central class of another component in each signature, at most two of
-        # these: linear in the index.
+        # these: linear in the index. What the bound leaves out here is looked at again below.
         placed = _placed(entries, joined)
         near = placed.groupBy("mark").agg(F.max(F.struct("shares", "node", "component")).alias("to"))
-        near = placed.join(table(near).filter("mark is not null"), "mark").filter("component <> to.component")
-        counted = near.groupBy(F.col("node").alias("a"), F.col("to.node").alias("b")).agg(F.count(F.lit(1)).alias("marks"), F.first("to.shares").alias("shares"))
-        best = counted.groupBy("a").agg(F.max(F.struct("marks", "b")).alias("best"), F.max(F.struct("shares", "b")).alias("central"))
+        to = table(near)
+        near = placed.join(to.filter("mark is not null"), "mark").filter("component <> to.component")
+        near = _shared(near.select(F.col("node").alias("a"), F.col("to.node").alias("b"), "one", F.col("to.shares").alias("shares")))
+        marks = F.col("shared") + F.col("combined")
+        best = _possible(near, facts).groupBy("a").agg(F.max(F.struct(marks, "b")).alias("best"), F.max(F.struct("shares", "b")).alias("central"))
         pairs = best.select("a", F.explode(F.array_distinct(F.array("best.b", "central.b"))).alias("b"))
         found = _verified(docs, nodes, pairs, shingle)
         links = found if links is None else table(links.unionByName(found))
         joined = table(components(links))
+        drop(placed, to)
 
     placed = _placed(entries, joined)
+    drop(entries)
     groups = table(placed.select("mark", "component").distinct())
     left, right = (groups.select("mark", F.col("component").alias(c)) for c in ("c1", "c2"))
     across = left.join(right, "mark").filter("c1 < c2")
     for side, group in (("x", "c1"), ("y", "c2")):
         members = placed.select("mark", F.col("component").alias(group), F.col("node").alias(side), "one")
         across = across.join(members if side == "x" else members.drop("one"), ["mark", group])
-    across = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "one")
-    pairs = across.groupBy("a", "b").agg(F.sum(F.col("one").cast("int")).alias("shared"), F.sum((~F.col("one")).cast("int")).alias("combined"))
-    more = _verified(docs, nodes, _possible(pairs, index), shingle)
+    pairs = _shared(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "one", F.lit(0).alias("shares")))
+    more = _verified(docs, nodes, _possible(pairs, facts).select("a", "b"), shingle)
+    drop(placed, groups, facts)
     return rows, nodes, links.unionByName(more), joined, more
 
 
