@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,9 @@ def load_parquet(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A stored table, empty where it is missing or its files are no Parquet. Other failures are raised."""
     try:
         return spark.read.parquet(path)
-    except PySparkException as error:
-        condition = error.getCondition() or ""
-        if condition != "PATH_NOT_FOUND" and not condition.startswith(UNREADABLE):
+    except (PySparkException, Py4JJavaError) as error:
+        # A footer that cannot be read fails a task, so its condition is in the text.
+        if not any(condition in str(error) for condition in ("PATH_NOT_FOUND", *UNREADABLE)):
             raise
         return empty(spark, ddl)
 
