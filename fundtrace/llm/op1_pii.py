@@ -4,9 +4,10 @@ Patterns find the protected entities: emails, ip addresses, card and phone numbe
 can give it away too. Over the whole corpus the documents are counted in which a term stands within
 ``WINDOW`` code points of an entity (of the same value), in which the entity stands at all, and in which the
 term does. Their pointwise mutual information, divided by the entity's own information, is the share of
-the entity that the term discloses: 1 if the term never stands without it. Terms that disclose at least
-``GENERALISE`` are generalised, from ``REMOVE`` on they are removed; fewer than ``SUPPORT`` documents are no
-evidence. The patterns' own spans stay as they are, disclosing terms add spans of the kind ``term``.
+the entity that the term discloses: 1 if the term never stands without it. Few documents are weak evidence but
+not none: the share of a term's documents that hold the entity enters with a lower bound, ``UNSEEN`` documents
+more without it, so a rare entity is protected as well. Terms that disclose at least ``GENERALISE`` are
+generalised, from ``REMOVE`` on they are removed. The patterns' own spans stay as they are, disclosing terms add spans of the kind ``term``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from fundtrace.llm.native import WORD, occurrences
 from fundtrace.llm.store import documents, prepare, table
 
 WINDOW = 60  # code points on either side
-SUPPORT = 5  # documents
+UNSEEN = 1  # documents; n of n then count as n / (n + 1), Wilson's lower bound at one standard error
 GENERALISE = 0.8
 REMOVE = 0.95
 KINDS = ("email", "ip", "card", "phone")
@@ -120,7 +121,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     return out.select("row", "text_id", "entity", F.lower("t.term").alias("term"), "t.start", "t.end").filter(F.col("term").rlike(r"^\p{L}[\p{L}\p{M}'.,;:!?-]*$"))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, near: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosed): the share of an entity's information that a term gives away, from ``least`` on.
 
     Documents are distinct texts. Terms are counted over all documents, entities over those that have them. A term
@@ -131,10 +132,10 @@ def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least:
     total = texts.select(F.xxhash64("text").alias("text_id")).agg(F.countDistinct("text_id").alias("total"))
     entities = near.groupBy("entity").agg(F.countDistinct("text_id").alias("of_entity"))
     seen = near.groupBy("term").agg(F.countDistinct("text_id").alias("seen"))
-    both = near.groupBy("entity", "term").agg(F.countDistinct("text_id").alias("both")).filter(F.col("both") >= support)
+    both = near.groupBy("entity", "term").agg(F.countDistinct("text_id").alias("both"))
     both = both.join(entities, "entity").join(seen, "term").join(F.broadcast(total), F.lit(True))  # one row
     most = F.col("both") * F.pow(F.col("total") / F.col("of_entity"), F.lit(1 - least))
-    both = table(both.filter(F.col("seen") <= most).drop("seen"))
+    both = table(both.filter(F.col("seen") + UNSEEN <= most * (1 + 1e-9)).drop("seen"))
     if both.isEmpty():
         return both.select("entity", "term", F.lit(0.0).alias("disclosed"))
     wanted = table(both.select("term").distinct())
@@ -143,19 +144,19 @@ def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least:
     terms = used.join(wanted, "term").groupBy("term").agg(F.countDistinct("text_id").alias("of_term"))
     scored = both.join(terms, "term")
     information = F.log2(F.col("total") / F.col("of_entity"))
-    shared = F.log2(F.col("both") * F.col("total") / (F.col("of_entity") * F.col("of_term")))
+    shared = F.log2(F.col("both") * F.col("total") / (F.col("of_entity") * (F.col("of_term") + UNSEEN)))
     disclosed = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
     return scored.select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= least)
 
 
-def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Table (row, doc_id, base, terms) of every row of ``docs``, which needs a column ``row`` that numbers them.
 
     ``base`` and ``terms`` are span arrays of struct<start, place, end, kind, value>; for terms ``value`` is
     ``removed`` or ``generalised``.
     """
     near = table(contexts(docs))
-    known = table(disclosures(docs, near, support, generalise))
+    known = table(disclosures(docs, near, generalise))
     told = near.join(known, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed"))
     told = told.select(
         "row",

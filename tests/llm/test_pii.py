@@ -91,6 +91,16 @@ def test_sanitised_texts(corpus):
     assert all(texts[i] == before[i] for i in range(12, 300))
 
 
+def test_terms_of_an_entity_in_one_text(spark):
+    fill = [(i, "the quick brown fox of the river bank writes a note") for i in range(3)]
+    fill += [(i, f"the quick brown fox number{i % 20} of the river bank writes a note{i % 50}") for i in range(3, 200)]
+    rows = [*fill, (900, "the quick Grimbold of the river bank writes as g@vega.org a note")]
+    (got,) = op.detect(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 900").collect()
+    start = rows[-1][1].index("Grimbold")
+    assert f"term:{start}:{start + 8}" in got.spans.split(",")
+    assert "term:0:3" not in got.spans.split(",")
+
+
 def test_awkward_rows(spark, awkward, nothing):
     got = op.detect(awkward).collect()
     assert len(got) == awkward.count() and all(r.spans == "" for r in got)
