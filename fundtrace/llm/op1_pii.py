@@ -1,13 +1,17 @@
 """Information-theoretic sanitisation of personal data, with built-in functions only.
 
-Patterns find the protected entities: emails, ip addresses, card and phone numbers. A term near an entity
-can give it away too. Over the whole corpus the documents are counted in which a term stands within
-``WINDOW`` code points of an entity (of the same value), in which the entity stands at all, and in which the
-term does. Their pointwise mutual information, divided by the entity's own information, is the share of
-the entity that the term discloses: 1 if the term never stands without it. Few documents are weak evidence but
-not none: the share of a term's documents that hold the entity enters with a lower bound, ``UNSEEN`` documents
-more without it, so a rare entity is protected as well. Terms that disclose at least ``GENERALISE`` are
-generalised, from ``REMOVE`` on they are removed. The patterns' own spans stay as they are, disclosing terms add spans of the kind ``term``.
+Patterns find the protected entities: emails, ip addresses, card and phone numbers. A term can give an entity
+away too. Over the whole corpus the documents are counted that hold a term and an entity (of the same value),
+that hold the entity, and that hold the term. Their pointwise mutual information, divided by the entity's own
+information, is the share of the entity that the term discloses: 1 if the term never stands without it. Few
+documents are weak evidence but not none: the share of a term's documents that hold the entity enters with a
+lower bound, ``UNSEEN`` documents more without it, so a rare entity is protected as well. Terms that disclose
+at least ``GENERALISE`` are generalised, from ``REMOVE`` on they are removed, wherever in a text they stand
+and, with ``everywhere``, in texts that do not hold the entity too. The patterns' own spans stay as they are,
+disclosing terms add spans of the kind ``term``.
+
+A term is a word without the punctuation at its edges and without regard to case; what a pattern's span covers
+is no part of a word.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.native import WORD, occurrences
+from fundtrace.llm.native import SPACE, let, occurrences
 from fundtrace.llm.store import documents, prepare, table
 
-WINDOW = 60  # code points on either side
 UNSEEN = 1  # documents; n of n then count as n / (n + 1), Wilson's lower bound at one standard error
 GENERALISE = 0.8
 REMOVE = 0.95
+FREQUENT = 200  # terms in more than this part of the texts are sent to all tasks
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the kinds, each run taken whole from where it begins: a match cannot begin inside a run
 # of the same characters unless the match before it ended there (\G), so long runs are read once.
@@ -40,6 +44,10 @@ _HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9][\x20().0-9-]"),
 }
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+_FOUND = "array<struct<start:int,place:int,end:int,kind:string,value:string>>"
+_EDGE = r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D]"
+# Runs of these at the beginning or end of a word.
+_EDGES = rf"(?<![^\x20\x09-\x0D]){_EDGE}++|(?<!{_EDGE}){_EDGE}++(?![^\x20\x09-\x0D])"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -85,97 +93,138 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.xxhash64(kind, plain)
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """(text_id, row, entity, term, start, end): the terms near each entity, for rows that have one.
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    ``row`` numbers the rows; equal texts share ``text_id``, so copies count as one document.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hint = F.lit(False)
+
+def _hinted(text: Column) -> Column:
+    found = F.lit(False)
     for test in _HINTS.values():
-        hint = hint | test(F.col("text"))
-    rows = docs.select("row", text.alias("text")).filter(hint)
-    spans = _ordered(list(base_spans(F.col("text")).items()))
-    rows = rows.select("row", "text", spans.alias("spans")).filter(F.size("spans") > 0)
-    one = F.explode("spans").alias("span")
-    rows = rows.select("row", F.xxhash64("text").alias("text_id"), "text", F.transform("spans", lambda s: s["start"]).alias("starts"), one)
-    begin, end = F.col("span.start"), F.col("span.end")
-    left_at = F.greatest(begin - WINDOW, F.lit(0))
-    left = F.substring("text", left_at + 1, begin - left_at)
-    right = F.substring("text", end + 1, F.lit(WINDOW))
-    # A word cut by the window's edge is not a term.
-    near = rows.select(
-        "row", "text_id", _entity(F.col("span.kind"), F.col("span.value")).alias("entity"),
-        left_at.alias("left_at"), end.alias("right_at"),
-        F.when(left_at > 0, F.regexp_replace(left, r"^[^\x20\x09-\x0D]+", "")).otherwise(left).alias("left"),
-        F.length(left).alias("left_size"),
-        F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"[^\x20\x09-\x0D]+$", "")).otherwise(right).alias("right"),
-    )
-    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("term")))
-    terms = F.concat(
-        moved(occurrences(F.col("left"), WORD), F.col("left_at") + F.col("left_size") - F.length("left")),
-        moved(occurrences(F.col("right"), WORD), F.col("right_at")),
-    )
-    out = near.select("row", "text_id", "entity", F.explode(terms).alias("t"))
-    # Letters only: numbers and addresses are what the patterns are for.
-    return out.select("row", "text_id", "entity", F.lower("t.term").alias("term"), "t.start", "t.end").filter(F.col("term").rlike(r"^\p{L}[\p{L}\p{M}'.,;:!?-]*$"))
+        found = found | test(text)
+    return found
 
 
-def disclosures(docs: DataFrame, near: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosed): the share of an entity's information that a term gives away, from ``least`` on.
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of what the spans cover; positions stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        more = F.array(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), s["end"] - begin))
+        return F.when(s["end"] > acc["at"], F.struct(F.concat(acc["out"], more).alias("out"), s["end"].alias("at"))).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
-    Documents are distinct texts. Terms are counted over all documents, entities over those that have them. A term
-    that disclosed that much could stand in no more than both * (total / of_entity) ^ (1 - least) documents; if it
-    is near entities in more already, the rest of the corpus need not be searched for it.
-    """
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.select(F.xxhash64("text").alias("text_id")).agg(F.countDistinct("text_id").alias("total"))
-    entities = near.groupBy("entity").agg(F.countDistinct("text_id").alias("of_entity"))
-    seen = near.groupBy("term").agg(F.countDistinct("text_id").alias("seen"))
-    both = near.groupBy("entity", "term").agg(F.countDistinct("text_id").alias("both"))
-    both = both.join(entities, "entity").join(seen, "term").join(F.broadcast(total), F.lit(True))  # one row
-    most = F.col("both") * F.pow(F.col("total") / F.col("of_entity"), F.lit(1 - least))
-    both = table(both.filter(F.col("seen") + UNSEEN <= most * (1 + 1e-9)).drop("seen"))
-    if both.isEmpty():
-        return both.select("entity", "term", F.lit(0.0).alias("disclosed"))
-    wanted = table(both.select("term").distinct())
-    # Per candidate term its documents; texts are compared by their hash.
-    used = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("term"))
-    terms = used.join(wanted, "term").groupBy("term").agg(F.countDistinct("text_id").alias("of_term"))
-    scored = both.join(terms, "term")
-    information = F.log2(F.col("total") / F.col("of_entity"))
-    shared = F.log2(F.col("both") * F.col("total") / (F.col("of_entity") * (F.col("of_term") + UNSEEN)))
-    disclosed = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    return scored.select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= least)
 
+def _words(text: Column) -> Column:
+    """Distinct words of a text outside of its base spans, without punctuation at their edges."""
+    plain = F.when(_hinted(text), _blanked(text, _ordered(list(base_spans(text).items())))).otherwise(text)
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(plain, _EDGES, ""), SPACE), lambda w: w != ""))
 
-def found_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(row, text_id, entity): the entities of each row, which ``row`` numbers; equal texts share ``text_id``."""
+    rows = docs.select("row", _text().alias("text")).filter(_hinted(F.col("text")))
+    rows = rows.select("row", F.xxhash64("text").alias("text_id"), F.explode(_ordered(list(base_spans(F.col("text")).items()))).alias("span"))
+    return rows.select("row", "text_id", _entity(F.col("span.kind"), F.col("span.value")).alias("entity")).distinct()
+
+
+def groups(near: DataFrame) -> DataFrame:
+    """(row, held, of_entity): entities that stand in the same texts are one group ``held``, for terms disclose them alike."""
+    texts = near.select("text_id", "entity").distinct()
+    of = texts.groupBy("entity").agg(F.count("*").alias("of_entity"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("texts"))
+    of = of.select("entity", F.xxhash64("of_entity", "texts").alias("held"), "of_entity")
+    return near.join(of, "entity").select("row", "held", "of_entity").distinct()
+
+
+def disclosures(docs: DataFrame, firsts: DataFrame, member: DataFrame, terms: DataFrame, frequent: DataFrame, total: int, least: float = GENERALISE) -> DataFrame:
+    """(held, term, disclosed): the share of a group's information that a term gives away, from ``least`` on.
+
+    ``firsts`` has one row of each distinct text, ``total`` of them; ``terms`` (term, of_term) are counted over these. A term
+    that discloses that much stands in no more than of_entity * (total / of_entity) ^ (1 - least) texts, so
+    ``frequent`` terms beyond that go before they are dealt out.
+    """
+    held = member.join(firsts, "row", "left_semi").groupBy("row").agg(F.collect_list(F.struct("held", "of_entity")).alias("groups"))
+    used = docs.select("row", _text().alias("text")).join(held, "row")
+    used = used.select("groups", F.explode(_words(F.lower("text"))).alias("term"))
+    used = used.join(F.broadcast(frequent.withColumnRenamed("of_term", "often")), "term", "left").select("term", "often", F.explode("groups").alias("g"))
+    most = F.col("g.of_entity") * F.pow(F.lit(float(total)) / F.col("g.of_entity"), F.lit(1 - least)) * (1 + 1e-9)
+    used = used.filter(F.col("often").isNull() | (F.col("often") + UNSEEN <= most))
+    both = used.groupBy("g.held", "g.of_entity", "term").agg(F.count("*").alias("both")).join(terms, "term")
+    information = F.log2(F.lit(float(total)) / F.col("of_entity"))
+    shared = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_entity") * (F.col("of_term") + UNSEEN)))
+    disclosed = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
+    return both.select("held", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= least)
+
+
+def told_words(docs: DataFrame, everywhere: bool, least: float) -> DataFrame:
+    """(row, told): per row its disclosing words as they are written, array<struct<word, disclosed>>."""
+    texts = docs.select("row", _text().alias("text"))
+    none = texts.select("row", F.array().cast("array<struct<word:string,disclosed:double>>").alias("told")).limit(0)
+    near = table(mentions(docs))
+    if near.isEmpty():
+        return none
+    # Rows are told apart by number, so a text's copies do not meet in one task.
+    firsts = table(texts.groupBy(F.xxhash64("text").alias("text_id")).agg(F.min("row").alias("row")).select("row"))
+    total = firsts.count()
+    terms = texts.join(firsts, "row", "left_semi").select(F.explode(_words(F.lower("text"))).alias("term"))
+    terms = table(terms.groupBy("term").agg(F.count("*").alias("of_term")))
+    frequent = terms.filter(F.col("of_term") > total / FREQUENT)  # at most FREQUENT times the words of a mean text
+    member = table(groups(near))
+    known = table(disclosures(docs, firsts, member, terms, frequent, total, least))
+    rest = frequent.join(known, "term", "left_anti").select("term")
+    words = texts.select("row", F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
+    words = words.join(F.broadcast(rest), "term", "left_anti")
+    if everywhere:
+        told = words.join(known.groupBy("term").agg(F.max("disclosed").alias("disclosed")), "term")
+    else:
+        told = words.join(known, "term").join(member, ["row", "held"], "left_semi").groupBy("row", "word").agg(F.max("disclosed").alias("disclosed"))
+    return told.groupBy("row").agg(F.collect_list(F.struct("word", "disclosed")).alias("told"))
+
+
+def _term_spans(text: Column, told: Column, remove: float) -> Column:
+    """Where the words ``told`` stand in a text, as struct<start, place, end, kind, value>."""
+    either = F.array_join(F.transform(told, lambda w: F.regexp_replace(w["word"], r"([^\p{L}\p{N}\p{M}])", r"\\$1")), "|")
+    pattern = F.concat(F.lit(rf"(?<![^\x20\x09-\x0D])({_EDGE}*+)("), either, F.lit(rf")(?={_EDGE}*+(?![^\x20\x09-\x0D]))"))
+    before, found = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+
+    def placed(m: Column) -> Column:
+        skips = F.zip_with(F.slice(m["gaps"], 1, F.size(m["found"])), m["before"], lambda g, b: g + F.length(b))
+        pairs = F.zip_with(m["found"], skips, lambda w, k: F.struct(w.alias("word"), k.alias("skip")))
+
+        def step(acc: Column, one: Column) -> Column:
+            begin = acc["at"] + one["skip"]
+            end = begin + F.length(one["word"])
+            share = F.element_at(F.filter(told, lambda t: t["word"] == one["word"]), 1)["disclosed"]
+            span = F.struct(
+                begin.alias("start"), F.lit(len(KINDS)).alias("place"), end.alias("end"), F.lit("term").alias("kind"),
+                F.when(share >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("value"),
+            )
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    return let(F.struct(before.alias("before"), found.alias("found"), gaps.alias("gaps")), placed)
+
+
+def found_spans(docs: DataFrame, everywhere: bool = False, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Table (row, doc_id, base, terms) of every row of ``docs``, which needs a column ``row`` that numbers them.
 
     ``base`` and ``terms`` are span arrays of struct<start, place, end, kind, value>; for terms ``value`` is
-    ``removed`` or ``generalised``.
+    ``removed`` or ``generalised``. With ``everywhere`` a disclosing term is one in every text, else in those
+    that hold the entity.
     """
-    near = table(contexts(docs))
-    known = table(disclosures(docs, near, generalise))
-    told = near.join(known, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed"))
-    told = told.select(
-        "row",
-        F.struct(
-            "start", F.lit(len(KINDS)).alias("place"), "end", F.lit("term").alias("kind"),
-            F.when(F.col("disclosed") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("value"),
-        ).alias("span"),
-    )
-    told = told.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("terms"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("row", "doc_id", _ordered(list(base_spans(F.col("text")).items())).alias("base"))
-    empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,value:string>>")
-    # A term inside a base span is part of it.
-    outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.join(told, "row", "left").select("row", "doc_id", "base", F.coalesce(outside, empty).alias("terms"))
+    told = table(told_words(docs, everywhere, generalise))
+    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(told, "row", "left")
+    rows = rows.select("row", "doc_id", "text", "told", _ordered(list(base_spans(F.col("text")).items())).alias("base"))
+    terms = F.when(F.col("told").isNotNull(), _term_spans(F.col("plain"), F.col("told"), remove)).otherwise(F.array().cast(_FOUND))
+    rows = rows.select("row", "doc_id", "told", "base", F.when(F.col("told").isNotNull(), _blanked(F.col("text"), F.col("base"))).alias("plain"))
+    return rows.select("row", "doc_id", "base", terms.alias("terms"))
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Null and empty texts have no spans. Repeated rows are rows of their own; other columns are ignored; an empty
@@ -183,7 +232,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    found = found_spans(rows)
+    found = found_spans(rows, everywhere)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", *(count(k) for k in KINDS), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
@@ -191,7 +240,7 @@ def detect(docs: DataFrame) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", everywhere: bool = False) -> DataFrame:
     """``docs`` with entities and generalised terms replaced by their kind in brackets and removed terms cut out.
 
     All other columns stay. Overlapping spans are replaced as one, by the first one's kind. Null stays null.
@@ -200,7 +249,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), F.col("doc_id").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     packed = table(packed.withColumn("row", F.monotonically_increasing_id()))
-    found = found_spans(packed.select("row", "doc_id", "text"))
+    found = found_spans(packed.select("row", "doc_id", "text"), everywhere)
     spans = found.select("row", F.sort_array(F.concat("base", "terms")).alias("spans")).filter(F.size("spans") > 0)
     joined = packed.join(table(spans), "row", "left")
 
@@ -218,10 +267,10 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(documents(spark, sf_dir, "doc_id", "text"))
+    return detect(documents(spark, sf_dir, "doc_id", "text"), everywhere=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data and disclosing terms taken out of their texts."""
-    clean = sanitise(docs)
+    clean = sanitise(docs, everywhere=True)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean

@@ -101,6 +101,23 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert "term:0:3" not in got.spans.split(",")
 
 
+def test_terms_far_from_the_entity_and_in_other_texts(spark):
+    random.seed(3)
+    fill = lambda: " ".join(f"{random.choice(['alpha', 'beta', 'gamma'])}{random.choice('abcdefgh')}" for _ in range(60))
+    rows = [(i, f'Apollo77 {fill()} ("Zorro"), {fill()} of the zorro. write to don.diego@vega.org {fill()}') for i in range(12)]
+    rows += [(12, f"{fill()} Zorro-like, zorro! {fill()}")] + [(i, f"of the {fill()} write to as {fill()}") for i in range(13, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in op.detect(docs, everywhere=True).collect()}
+    told = lambda i: [rows[i][1][int(a) : int(b)] for k, a, b in (s.rsplit(":", 2) for s in got[i].spans.split(",") if s) if k == "term"]
+    assert all(told(i) == ["Apollo77", "Zorro", "zorro"] for i in range(12))
+    assert told(12)[-1] == "zorro" and all(got[i].n_term == 0 for i in range(13, 300))
+    clean = {r.doc_id: r.text for r in op.sanitise(docs, everywhere=True).collect()}
+    assert not any("zorro" in clean[i].lower() for i in range(12)) and "zorro!" not in clean[12]
+    assert [t[1] for t in rows[13:]] == [clean[i] for i in range(13, 300)]
+    # By default texts without the entity stay.
+    assert {r.doc_id for r in op.detect(docs).filter("n_term > 0").collect()} == set(range(12))
+
+
 def test_awkward_rows(spark, awkward, nothing):
     got = op.detect(awkward).collect()
     assert len(got) == awkward.count() and all(r.spans == "" for r in got)
