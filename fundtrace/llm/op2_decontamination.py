@@ -6,14 +6,16 @@ For each candidate the longest common run of words is marked again and again, ru
 not marked yet, until no run of ``TILE`` words is left. Tiles may stand in any order, so a passage whose
 sentences were moved is found as well. The share of the item's words that tiles cover decides.
 
-Words are runs of letters and digits, without regard to case, so punctuation and line breaks do not matter.
+Words are runs of letters and digits, without regard to case, so punctuation and line breaks do not matter. In
+scripts that write no spaces between words, each character is a word. An item of fewer than ``TILE`` words has one
+seed, all of its words, and is found where these stand in a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm import words
@@ -22,44 +24,58 @@ from fundtrace.llm.store import documents, prepare, table
 
 TILE = 5
 COVERAGE = 0.5
+# Characters that are words: scripts without spaces, and the Japanese signs that belong to several of them.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsJavanese}\p{IsBalinese}\u30FC\uFF70]"
 _U = np.uint64
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
+def plain(text: Column) -> Column:
+    """Lower case, with a space for everything but letters, marks and digits and around characters that are words."""
+    low = F.lower(text.cast("string"))
+    spaced = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]+", " "), _UNSPACED, " $0 ")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), spaced).otherwise(low)
+
+
 def benchmark_seeds(items: DataFrame, tile: int = TILE) -> DataFrame:
-    """(item, item_id, size, seeds): per item its words' number and the hashes of all runs of ``tile`` words."""
+    """(item, item_id, size, seeds): per item its words' number and the hashes of all runs of ``tile`` words, or of all its words if they are fewer."""
 
     def scan(batches):
         for batch in batches:
             found = words.Words(batch.column(2), words.PUNCTUATION, None)
             grams, _ = found.windows(tile)
-            seeds = [grams[a : max(a, b - tile + 1)].view(np.int64) for a, b in zip(found.bounds[:-1], found.bounds[1:])]
+            short = {size: found.windows(size)[0] for size in range(1, tile)}
+            seeds = [
+                (short[b - a][a : a + 1] if 0 < b - a < tile else grams[a : max(a, b - tile + 1)]).view(np.int64)
+                for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist())
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(found.bounds)), pa.array(seeds, pa.list_(pa.int64()))],
                 names=["item", "item_id", "size", "seeds"],
             )
 
-    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")))
+    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), plain(F.col("text")))
     return rows.mapInArrow(scan, "item long, item_id long, size long, seeds array<long>")
 
 
-def document_seeds(docs: DataFrame, bits: np.ndarray, tile: int = TILE) -> DataFrame:
-    """(row, doc_id, at, seed): the documents' seeds that may be the benchmark's, with their word position."""
+def document_seeds(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(row, doc_id, at, seed): the documents' seeds of these sizes that may be the benchmark's, with their word position."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches):
         for batch in batches:
             found = words.Words(batch.column(2), words.PUNCTUATION, None)
-            grams, inside = found.windows(tile)
-            hit = np.flatnonzero(inside & maybe(grams, sent.value))
+            runs = [found.windows(size) for size in sizes]
+            hits = [np.flatnonzero(inside & maybe(grams, sent.value)) for grams, inside in runs]
+            seed, hit = np.concatenate([grams[h] for (grams, _), h in zip(runs, hits)]), np.concatenate(hits)
             of = np.searchsorted(found.bounds, hit, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(hit - found.bounds[of]), pa.array(grams[hit].view(np.int64))],
+                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(hit - found.bounds[of]), pa.array(seed.view(np.int64))],
                 names=["row", "doc_id", "at", "seed"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), plain(F.col("text")))
     return rows.mapInArrow(scan, "row long, doc_id long, at long, seed long")
 
 
@@ -124,14 +140,15 @@ def tiles(at: np.ndarray, doc: np.ndarray, item: np.ndarray, tile: int) -> list[
 def overlaps(docs: DataFrame, items: DataFrame, tile: int = TILE) -> DataFrame:
     """(row, doc_id, item_id, item_words, n_tiles, covered_words): every document row and item that share a seed.
 
-    Null and empty texts and items of fewer than ``tile`` words share none. Repeated rows and items are
+    Null and empty texts share none. Repeated rows and items are
     compared each; other columns are ignored; an empty table on either side gives no rows.
     """
     prepare(docs.sparkSession)
     bench = table(benchmark_seeds(items, tile))
     seeds = table(bench.select("item", F.explode("seeds").alias("seed")).distinct())
     bits = bit_map(seeds.select(F.col("seed").alias("token")))
-    found = table(document_seeds(docs, bits, tile))
+    short = bench.filter(F.col("size").between(1, tile - 1)).select("size").distinct().collect()  # fewer than tile numbers
+    found = table(document_seeds(docs, bits, [tile, *sorted(r["size"] for r in short)]))
     pairs = found.join(seeds, "seed").groupBy("row", "item").agg(
         F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("hits")
     )
@@ -140,7 +157,8 @@ def overlaps(docs: DataFrame, items: DataFrame, tile: int = TILE) -> DataFrame:
     def scan(batches):
         for batch in batches:
             at, doc, item = ([np.array(v.as_py(), np.int64) for v in batch.column(i)] for i in (4, 5, 6))
-            found = [tiles(a, d.view(_U), s.view(_U), tile) for a, d, s in zip(at, doc, item)]
+            sizes = batch.column(3).to_pylist()
+            found = [tiles(a, d.view(_U), s.view(_U), min(tile, n)) for a, d, s, n in zip(at, doc, item, sizes)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(list(map(len, found)), pa.int64()), pa.array([sum(t[2] for t in f) for f in found], pa.int64())],
                 names=["row", "doc_id", "item_id", "item_words", "n_tiles", "covered_words"],

@@ -79,3 +79,11 @@ def test_no_rows(tables):
     docs, items = tables
     assert op.contaminated(docs.limit(0), items).collect() == []
     assert op.contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_unspaced_scripts_and_short_items(spark):
+    items = ["敏捷的棕色狐狸跳过了懒狗", "吾輩は猫である。名前はまだ無い。", "สวัสดีชาวโลกทั้งหลาย", "naïve café «déjà vu»", "forty two", "中"]
+    docs = [f"前文，{items[0]}。后文", f"むかし「{items[1]}」と", f"x {items[2]} y", "so NAÏVE… café—déjà–vu!", "it is Forty-Two, forty-three", "two forty", "日本語だけ", "好中好"]
+    make = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in op.contaminated(make(docs, "doc_id"), make(items, "item_id")).collect())
+    assert got == [(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (7, 5, 1.0)]
