@@ -12,14 +12,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundtrace.llm import words
 from fundtrace.llm.store import documents, fold, prepare, table
 
 PER_LANGUAGE = 400  # documents of each language the machines are fitted on, at most
-LANGUAGES = 64  # most frequent languages that are learned
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 # Families of ISO 639-1 codes; a language not listed is a family of its own.
@@ -96,21 +95,16 @@ def _pairs(x: np.ndarray, names: np.ndarray) -> tuple[list[str], list[tuple[int,
     return classes, pairs, machines
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, families: Mapping = FAMILIES) -> dict | None:
-    """Machines from at most ``per_language`` documents of each of the ``languages`` most frequent values of ``lang``.
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: Mapping = FAMILIES) -> dict | None:
+    """Machines from at most ``per_language`` documents of each value of ``lang``.
 
     Documents are chosen by the hash of their ids. None if no language is given.
     """
     prepare(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    chosen = None
-    for name in names:
-        part = known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return None
-    chosen = table(chosen.distinct())  # at most languages * per_language rows of an id and a code
+    # The rank's limit runs before the exchange too, so no task holds all rows of a language.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = table(known.withColumn("place", place).filter(F.col("place") <= per_language).drop("place").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
 
     def scan(batches):
@@ -118,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
             rows = [v.tobytes() for v in vectors(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "vector"])
 
-    texts = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).filter(F.lower("text").rlike(r"\p{L}")).select("lang", F.lower("text"))
+    texts = texts.join(chosen, ["doc_id", "lang"]).filter(F.lower("text").rlike(r"\p{L}")).select("lang", F.lower("text"))
     sample = sorted((r["lang"], bytes(r["vector"])) for r in texts.mapInArrow(scan, "lang string, vector binary").collect())
     if not sample:
         return None

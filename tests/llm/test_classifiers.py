@@ -163,3 +163,14 @@ def test_texts_without_letters_are_undetermined(spark, awkward, nothing, languag
 
 def test_no_language_to_learn(languages):
     assert op10_language_svm.fit(languages[0].filter("lang is null")) is None
+
+
+def test_every_language_is_learned(spark):
+    codes = [f"{a}{b}" for a in "bcdfghjk" for b in "aeiouwxyz"]
+    rows = [(10 * n + k, " ".join([f"{c}{c}{c} q{c}"] * (3 + k)), c) for n, c in enumerate(codes) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    families = {"one": tuple(codes[:36]), "two": tuple(codes[36:])}
+    model = op10_language_svm.fit(docs, per_language=2, families=families)
+    assert len(codes) > 64 and sorted(c for f in model["within"].values() for c in f[0]) == sorted(codes)
+    got = {r.doc_id: r.lang_pred for r in op10_language_svm.predict(docs, model).collect()}
+    assert got == {i: c for i, _, c in rows}
