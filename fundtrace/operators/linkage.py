@@ -29,9 +29,7 @@ FLOOR = 1e-6
 
 # A block of more profiles than this is cut into tiles that are joined pair by pair of tiles.
 TILE = 2_000
-# Defaults of ``train``: partners per profile in a training block, larger blocks being represented by
-# weighted samples (None compares every pair), and random pairs for the chance of agreement.
-TRAINING_PARTNERS = 1_000
+# Default of ``train``: random pairs for the chance of agreement.
 U_PAIRS = 1_000_000
 
 
@@ -315,35 +313,39 @@ def estimate_u(model: Model, rows: DataFrame, pairs_wanted: int = U_PAIRS) -> Mo
     return model
 
 
-def training_patterns(rows: DataFrame, block: str, partners: int | None = TRAINING_PARTNERS) -> DataFrame:
+def training_patterns(rows: DataFrame, block: str, partners: int | None = None, tile: int = TILE) -> DataFrame:
     """Counts of comparison patterns among pairs that agree on ``block``.
 
-    In a block of up to ``partners`` profiles, or of any size if None, all pairs are compared. In a
-    larger one each profile meets about that many partners, picked by hash, and their counts are scaled up.
+    All pairs are compared, those of a block of more than ``tile`` profiles pair by pair of tiles. With ``partners``
+    each profile of a larger block meets about that many, picked by hash, and their counts are scaled up.
     """
     columns = [c for c in COMPARED if c != block]
     keyed = rows.filter(F.col(block).isNotNull())
-    tiles = F.lit(1) if partners is None else F.ceil(F.count("*") / partners).cast("int")
-    sizes = keyed.groupBy(block).agg(F.count("*").alias("_n"), tiles.alias("_t")).drop("_n")
-    placed = keyed.join(sizes, block)
+    sizes = keyed.groupBy(block).agg(F.ceil(F.count("*") / (partners or tile)).cast("int").alias("_t"))
+    placed = keyed.join(sizes.filter("_t > 1"), block, "left").withColumn("_t", F.coalesce("_t", F.lit(1)))
 
-    def half(side: str, seed: int) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("profile_id", F.lit(seed)), F.col("_t"))
+    def half(side: str, *buckets: Column) -> DataFrame:
         return placed.select(
             F.col(block).alias("_key"),
-            bucket.alias("_bucket"),
             *([F.col("_t")] if side == "l" else []),
             F.col("profile_id").alias(f"profile_{side}"),
             *[F.col(c).alias(f"{c}_{side}") for c in [*columns, "n_records"]],
+            *buckets,
         )
 
-    # With one bucket both halves hold the whole block and the order condition keeps half the pairs.
-    pairs = (
-        half("l", 1)
-        .join(half("r", 2), ["_key", "_bucket"])
-        .filter("profile_l < profile_r")
-        .withColumn("w", (F.col("n_records_l") * F.col("n_records_r") * F.col("_t")).cast("double"))
-    )
+    def bucket(seed: int) -> Column:
+        return F.pmod(F.xxhash64("profile_id", F.lit(seed)), F.col("_t")).cast("int")
+
+    weight = F.col("n_records_l") * F.col("n_records_r")
+    if partners is None:
+        left = half("l", bucket(1).alias("_i")).withColumn("_j", F.explode(F.sequence("_i", F.col("_t") - 1)))
+        right = half("r", bucket(1).alias("_j"), F.sequence(F.lit(0), bucket(1)).alias("_up")).withColumn("_i", F.explode("_up")).drop("_up")
+        pairs = left.join(right, ["_key", "_i", "_j"]).filter("_i < _j OR profile_l < profile_r")
+    else:
+        # With one bucket both halves hold the whole block and the order condition keeps half the pairs.
+        pairs = half("l", bucket(1).alias("_i")).join(half("r", bucket(2).alias("_i")), ["_key", "_i"]).filter("profile_l < profile_r")
+        weight = weight * F.col("_t")
+    pairs = pairs.withColumn("w", weight.cast("double"))
     copies = rows.filter(F.col(block).isNotNull() & (F.col("n_records") > 1)).select(
         *[F.when(F.col(c).isNull(), -1).otherwise(EXACT[c]).alias(f"g_{c}") for c in columns],
         (F.col("n_records") * (F.col("n_records") - 1) / 2).alias("w"),
@@ -387,7 +389,7 @@ def fit(patterns: list[dict], columns: list[str], model: Model, rounds: int = 50
     return m
 
 
-def train(rows: DataFrame, partners: int | None = TRAINING_PARTNERS, u_pairs: int = U_PAIRS) -> Model:
+def train(rows: DataFrame, partners: int | None = None, u_pairs: int = U_PAIRS) -> Model:
     """u from chance agreement, m by EM in the number and name blocks, averaged over both."""
     model = estimate_u(starting_model(), rows, u_pairs)
     found: dict[str, list[np.ndarray]] = {c: [] for c in COMPARED}
@@ -644,7 +646,7 @@ class LinkageRun:
 def run_linkage(
     wh: Warehouse,
     threshold: float = 0.40,
-    partners: int | None = TRAINING_PARTNERS,
+    partners: int | None = None,
     u_pairs: int = U_PAIRS,
 ) -> LinkageRun:
     """Extract, train, predict, cluster and list candidates."""

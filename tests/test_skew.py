@@ -200,3 +200,19 @@ def test_copies_of_a_record_stay_linear(spark):
     found = linkage.build_candidates(records, own)
     assert sorted(rows(found, "entity_id_l", "entity_id_r")) == [(1, i) for i in range(2, 51)]
     assert linkage.entity_profiles(records).filter("cleaned_name = 'SAME NAME'").count() == 50
+
+
+def test_training_counts_every_pair_of_a_large_block(spark):
+    from collections import Counter
+
+    held = [(f"p{k:05d}", str(k % 7) if k % 5 else None, "hot name", f"c{k}", f"v{k % 3}", None if k % 4 == 0 else "x", 1 + (k % 50 == 0)) for k in range(1300)]
+    rows = spark.createDataFrame(held, "profile_id string, bn_root string, cleaned_name string, city string, province string, entity_type string, n_records long")
+    level = lambda a, b: -1 if a is None or b is None else int(a == b)
+    want = Counter()
+    for i, a in enumerate(held):
+        for b in held[:i]:
+            want[tuple(level(a[c], b[c]) for c in (1, 3, 4, 5))] += a[6] * b[6]
+        want[tuple(level(a[c], a[c]) for c in (1, 3, 4, 5))] += a[6] * (a[6] - 1) // 2
+    for kwargs in ({}, {"tile": 300}):
+        got = linkage.training_patterns(rows, "cleaned_name", **kwargs).collect()
+        assert {tuple(r)[:4]: r.w for r in got} == +want
