@@ -25,16 +25,16 @@ from fundtrace.llm.store import documents, prepare, table
 TILE = 5
 COVERAGE = 0.5
 # Characters that are words: scripts without spaces, and the Japanese signs that belong to several of them.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsJavanese}\p{IsBalinese}\u30FC\uFF70]"
+_UNSPACED = r"[\u0E00-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsJavanese}\p{IsBalinese}\u30FC\uFF70]]"
 _U = np.uint64
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
 def plain(text: Column) -> Column:
-    """Lower case, with a space for everything but letters, marks and digits and around characters that are words."""
+    """Lower case, with a space for what is no letter, mark or digit beyond ASCII and around characters that are words."""
     low = F.lower(text.cast("string"))
-    spaced = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]+", " "), _UNSPACED, " $0 ")
+    spaced = F.regexp_replace(F.regexp_replace(low, r"[\x80-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]+", " "), _UNSPACED, " $0 ")
     return F.when(low.rlike(r"[^\x00-\x7F]"), spaced).otherwise(low)
 
 
