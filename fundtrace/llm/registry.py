@@ -18,6 +18,7 @@ MODULES = {
     "op8_url_filters": "op8_url_filters",
     "op9_ngram_jaccard": "op9_ngram_jaccard",
     "op10_language_svm": "op10_language_svm",
+    "op11_conversation_repair": "op11_conversation_repair",
 }
 
 
