@@ -19,6 +19,7 @@ MODULES = {
     "op9_ngram_jaccard": "op9_ngram_jaccard",
     "op10_language_svm": "op10_language_svm",
     "op11_conversation_repair": "op11_conversation_repair",
+    "op12_best_fit_packing": "op12_best_fit_packing",
 }
 
 
