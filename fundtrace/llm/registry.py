@@ -20,6 +20,7 @@ MODULES = {
     "op10_language_svm": "op10_language_svm",
     "op11_conversation_repair": "op11_conversation_repair",
     "op12_best_fit_packing": "op12_best_fit_packing",
+    "op13_collocations": "op13_collocations",
 }
 
 
