@@ -16,9 +16,17 @@ false bit only makes a token frequent for every class alike, so the join is exac
 
 Classes that share a signature are verified in steps. First each with at most two others, chosen from its
 signatures' most central classes, which is linear even where thousands of near copies share one; what is linked
-becomes a component. Then all classes that share a signature and are in different components: a bound on the
-overlap from the number of shared signatures comes first, the whole sets are compared after it. A link inside a component adds
-nothing to the result, so no link is lost for it.
+becomes a component. A link inside a component adds nothing to the result. Between different components:
+
+* Each class has a hub, the most central class of its signatures, and is compared with it. Two classes of one hub share
+  at most as much as the lesser of their overlaps with the hub, and besides only tokens that the hub lacks. So either
+  their sizes are small enough for those overlaps, which a join on ranges of sizes finds, or they share a token that both
+  have added to the hub's, which a join on (a prefix of) the added tokens finds. Near copies of one text have little in
+  common but that text, so neither join grows with the square of their number.
+* Classes of different hubs meet by their signatures; a bound on the overlap from sizes and shared signatures comes
+  first.
+
+What is left is compared as whole sets. No link is lost: each step leaves out only pairs that cannot reach the similarity.
 """
 
 from __future__ import annotations
@@ -238,6 +246,61 @@ def _placed(entries: DataFrame, joined: DataFrame) -> DataFrame:
     return chosen
 
 
+def _measured(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """``members`` (node, component, hub) with the set's size ``n``, its overlap ``o`` with the hub's and the tokens ``added`` to it."""
+    members = table(members)
+    ends = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
+    sets = table(whole_sets(docs, table(ends.join(nodes, "node").select("node", "key", "digest")), shingle))
+    hub = sets.select(F.col("node").alias("hub"), F.col("own").alias("of_hub"))
+    added = F.array_except("own", "of_hub")
+    both = members.join(sets, "node").join(hub, "hub").withColumn("added", added)
+    return both.select("node", "component", "hub", "n", (F.col("n") - F.size("added")).alias("o"), "added")
+
+
+def _probes(members: DataFrame, key: str) -> DataFrame:
+    """``members`` outside of the component that has most of them under their ``key``."""
+    sizes = members.groupBy(key, "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(key).agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+    return members.join(main, key).filter(F.col("component") != F.col("main")).drop("main")
+
+
+def _linkable(common: F.Column) -> F.Column:
+    """For the sides x and y of a join: different components, and ``common`` tokens would be enough."""
+    return (F.col("x.component") != F.col("y.component")) & _similar("x.n", "y.n", common)
+
+
+def _by_size(probes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one hub that can be similar by what each shares with the hub.
+
+    Sizes are dealt into ranges of about 2 percent; a probe goes to those that its own overlap allows.
+    """
+    of_size = lambda n: F.floor(F.log(n) * 50).cast("int")
+    # The largest partner: n + partner is at most 180 / 80 of the overlap.
+    most = F.least((F.lit(100 + PERCENT) * F.col("o") / PERCENT).cast("long") - F.col("n"), (F.lit(100) * F.col("n") / PERCENT).cast("long"))
+    least = F.greatest(F.ceil(F.lit(PERCENT) * F.col("n") / 100), F.lit(1))
+    probes = probes.withColumn("most", most).withColumn("least", least).filter("most >= least").drop("added")
+    probes = probes.withColumn("range", F.explode(F.sequence(of_size(F.col("least")), of_size(F.col("most")))))
+    sized = members.drop("added").withColumn("range", of_size(F.col("n")))
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.range") == F.col("y.range"))
+    pairs = probes.alias("x").join(sized.alias("y"), same & _linkable(F.least("x.o", "y.o")))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+
+def _by_added(probes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one hub that share a token the hub lacks.
+
+    A partner is no smaller than the similarity allows, so of what a set shares with it at least ``need`` tokens are added
+    ones: one of them is among all but the last ``need`` - 1.
+    """
+    need = F.greatest(F.ceil(F.lit(PERCENT) * F.col("n") / 100) - F.col("o"), F.lit(1))
+    prefix = F.slice(F.array_sort("added"), F.lit(1), F.greatest(F.size("added") - need.cast("int") + 1, F.lit(0)))
+    x, y = (side.withColumn("token", F.explode(prefix)).drop("added") for side in (probes, members))
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token"))
+    most = F.least("x.o", "y.o") + F.least(F.col("x.n") - F.col("x.o"), F.col("y.n") - F.col("y.o"))
+    pairs = x.alias("x").join(y.alias("y"), same & _linkable(most))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = FREQUENT):
     """Tables of the rows (doc_id, n, digest), of the classes, and of links that join their components."""
     spark = prepare(docs.sparkSession)
@@ -291,13 +354,16 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
     entries = table(counted.join(shares, "node").select("mark", "node", "one", "shares"))
     drop(counted, shares)
 
-    links, joined = None, table(nodes.limit(0).select("node", F.col("node").alias("component")))
+    links, hubs, joined = None, None, table(nodes.limit(0).select("node", F.col("node").alias("component")))
     for _ in range(STARS):
         # Each class with the most central class of another component in each signature, at most two of
         # these: linear in the index. What the bound leaves out here is looked at again below.
         placed = _placed(entries, joined)
         near = placed.groupBy("mark").agg(F.max(F.struct("shares", "node", "component")).alias("to"))
         to = table(near)
+        if hubs is None:
+            central = placed.select("mark", "node").join(to, "mark").groupBy("node").agg(F.max(F.struct("to.shares", "to.node")).alias("hub"))
+            hubs = table(central.select("node", F.col("hub.node").alias("hub")))
         near = placed.join(to.filter("mark is not null"), "mark").filter("component <> to.component")
         near = _shared(near.select(F.col("node").alias("a"), F.col("to.node").alias("b"), "one", F.col("to.shares").alias("shares")))
         marks = F.col("shared") + F.col("combined")
@@ -310,15 +376,18 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
 
     placed = _placed(entries, joined)
     drop(entries)
-    groups = table(placed.select("mark", "component").distinct())
-    left, right = (groups.select("mark", F.col("component").alias(c)) for c in ("c1", "c2"))
-    across = left.join(right, "mark").filter("c1 < c2")
-    for side, group in (("x", "c1"), ("y", "c2")):
-        members = placed.select("mark", F.col("component").alias(group), F.col("node").alias(side), "one")
-        across = across.join(members if side == "x" else members.drop("one"), ["mark", group])
-    pairs = _shared(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "one", F.lit(0).alias("shares")))
-    more = _verified(docs, nodes, _possible(pairs, facts).select("a", "b"), shingle)
-    drop(placed, groups, facts)
+    measured = table(_measured(docs, nodes, placed.select("node", "component").distinct().join(hubs, "node"), shingle))
+    # Of each hub's and signature's classes, those of its largest component need not meet each other.
+    of_hub = _probes(measured.select("hub", "node", "component", "n", "o", "added"), "hub")
+    pairs = _by_size(of_hub, measured).unionByName(_by_added(of_hub, measured)).distinct()
+    ends = placed.join(measured.select("node", "hub", "n"), "node")
+    probes = _probes(ends.select("mark", "node", "component", "hub", "n", "one"), "mark")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.hub") != F.col("y.hub")) & _similar("x.n", "y.n", F.least("x.n", "y.n"))
+    across = probes.alias("x").join(ends.alias("y"), (F.col("x.mark") == F.col("y.mark")) & apart)
+    across = across.select("x.mark", F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), "x.one", F.lit(0).alias("shares")).distinct()
+    other = _possible(_shared(across.drop("mark")), facts).select("a", "b")
+    more = _verified(docs, nodes, pairs.unionByName(other), shingle)
+    drop(placed, hubs, measured, facts)
     return rows, nodes, links.unionByName(more), joined, more
 
 
