@@ -16,7 +16,7 @@ _SETTINGS = {
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16MB",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
