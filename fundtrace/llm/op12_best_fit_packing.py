@@ -17,6 +17,8 @@ ranges). What is sent to the driver is the histogram and to executors the plan,
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -39,6 +41,8 @@ LARGE = (1 / 4, 2 / 5)
 VOCABULARY = "word_bpe_49k.json"
 # Words an encoder remembers before it starts over.
 REMEMBERED = 1 << 19
+# Kinds of bytes.
+_ALPHANUMERIC, _MARK, _SPACE = 1, 2, 3
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -248,9 +252,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = not specials
         self.lower = LOWER if '"Lowercase"' in vocabulary and not specials else np.arange(256, dtype=np.uint8)
-        self.alphanumeric, self.marks = np.zeros(256, bool), np.zeros(256, bool)
-        self.alphanumeric[[b for b in range(128) if chr(b).isalnum()]] = True
-        self.marks[list(self.MARKS)] = True
+        self.kinds = np.zeros(256, np.uint8)
+        self.kinds[[b for b in range(128) if chr(b).isalnum()]] = _ALPHANUMERIC
+        self.kinds[list(self.MARKS)] = _MARK
+        self.kinds[SPACES] = _SPACE
+        vocabulary_of = self.tokenizer.get_vocab()
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary_of.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary_of.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -261,35 +271,61 @@ class Encoder:
         """Places of the words in ``begin`` and ``size``, new ones encoded first."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
+        found = list(map(self.known.get, words))
+        new = [w for w, at in zip(words, found) if at is None]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.array([len(f) for f in found], np.int64)
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
             at = len(self.known)
-            self.known.update((w, at + i) for i, w in enumerate(new))
-        return np.array([self.known[w] for w in words], np.int64)
+            sizes, ids = self._encoded(new)
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
+            self.known.update(zip(new, range(at, at + len(new))))
+            later = iter(range(at, at + len(new)))
+            found = [next(later) if number is None else number for number in found]
+        return np.array(found, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in a row.
+
+        Words of letters below U+0100, which no normaliser takes apart, are one token run each: many go through the
+        tokenizer as one text, and each ends with the id of a word's end.
+        """
+        plain = np.array([w.isalpha() and (w.isascii() or max(w) < "\u0100") for w in words], bool) & bool(self.ends.any())
+        of: list = [None, None]
+        rest = [w for w, p in zip(words, plain) if not p]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        of[0] = np.array([len(f) for f in found], np.int64), np.array([i for f in found for i in f], np.uint32)
+        texts = [" ".join(part) for part in (list(itertools.compress(words, plain))[i : i + 2000] for i in range(0, int(plain.sum()), 2000))]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        of[1] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+        sizes = np.zeros(len(words), np.int64)
+        sizes[~plain], sizes[plain] = of[0][0], of[1][0]
+        both = np.zeros(int(sizes.sum()), np.uint32)
+        kind = np.repeat(plain, sizes)
+        both[~kind], both[kind] = of[0][1], of[1][1]
+        return sizes, both
 
     def blocks(self, column: pa.Array):
         """Per block of the column's bytes: its end, the first byte of every word in it, where the word's ids begin, all ids."""
         data, offsets = buffers(column)
-        for begin, end, starts, stops in positions(data, offsets, SPACES):
+        for begin, end, starts, _ in positions(data, offsets, SPACES):
             raw = data[begin:end]
-            inside = np.flatnonzero(self.alphanumeric[raw[:-1]] & self.marks[raw[1:]]) + begin + 1
-            begins = np.union1d(starts, inside)
+            kind = self.kinds[raw]
+            first = np.zeros(len(raw), bool)
+            first[1:] = (kind[:-1] == _ALPHANUMERIC) & (kind[1:] == _MARK)
+            first[starts - begin] = True
+            begins = np.flatnonzero(first) + begin
             if len(begins) == 0:
                 yield end, begins, np.zeros(1, np.int64), self.ids[:0]
                 continue
-            ends = np.minimum(stops[np.searchsorted(starts, begins, "right") - 1], np.append(begins[1:], end))
-            places = np.append(0, np.cumsum(ends - begins)).astype(np.int32)
-            text = self.lower[raw[~SPACES[raw]]]
+            letters = kind != _SPACE
+            # Without the white space a word ends where the next begins.
+            places = np.append(np.cumsum(letters, dtype=np.int32)[begins - begin] - 1, np.int32(np.count_nonzero(letters)))
+            text = self.lower[raw[letters]]
             words = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(text)]).dictionary_encode()
             number = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
             sizes = self.size[number]
             at = np.append(0, np.cumsum(sizes))
-            flat = np.repeat(self.begin[number] - at[:-1], sizes) + np.arange(at[-1])
+            flat = np.repeat((self.begin[number] - at[:-1]).astype(np.int32), sizes) + np.arange(at[-1], dtype=np.int32)
             yield end, begins, at, self.ids[flat]
 
 
