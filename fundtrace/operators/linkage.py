@@ -360,6 +360,77 @@ def training_patterns(rows: DataFrame, block: str, partners: int | None = None,
     )
 
 
+def _equality_counts(rows: DataFrame, block: str, columns: list[str]) -> np.ndarray:
+    """Record pairs of one block by comparison pattern, one axis a column: unknown, unequal, equal.
+
+    No pair is formed. For a set S of columns, the records of a block that agree on S are a group, and a group of n records
+    holds n (n - 1) / 2 pairs equal on S; restricted to records that know the columns T too, pairs equal on S and known on
+    T. Differences of these counts along each axis (unknown = any - known, unequal = known - equal) are the patterns.
+    """
+    masks = range(1 << len(columns))
+    inside = [[c for i, c in enumerate(columns) if mask >> i & 1] for mask in masks]
+    known = rows.filter(F.col(block).isNotNull())
+    n = known.groupBy(block, *columns).agg(F.sum("n_records").alias("n"))
+    missing = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)], F.lit(0))
+    n = n.withColumn("_missing", missing).withColumn("_s", F.explode(F.array([F.lit(m) for m in masks])))
+    n = n.filter(F.col("_s").bitwiseAND(F.col("_missing")) == 0)
+    parts = [F.when(F.col("_s").bitwiseAND(1 << i) != 0, F.col(c)).alias(c) for i, c in enumerate(columns)]
+    sums = [F.sum(F.when(F.col("_missing").bitwiseAND(t) == 0, F.col("n")).otherwise(0)).alias(f"_{t}") for t in masks]
+    groups = n.select(block, "_s", *parts, "n", "_missing").groupBy(block, "_s", *columns).agg(*sums)
+    pairs = [F.sum(F.col(f"_{t}").cast("double") * (F.col(f"_{t}") - 1) / 2).alias(f"_{t}") for t in masks]
+    found = {r["_s"]: r for r in groups.groupBy("_s").agg(*pairs).collect()}
+    counts = np.zeros([3] * len(columns))
+    for s, t in product(masks, masks):
+        if not s & t and s in found:
+            at = tuple(2 if c in inside[s] else 1 if c in inside[t] else 0 for c in columns)
+            counts[at] = found[s][f"_{t}"] or 0.0
+    for axis in range(len(columns)):
+        free, both, equal = np.moveaxis(counts, axis, 0)
+        counts = np.stack([free - both, both - equal, equal], axis)
+    return counts
+
+
+def _similar_names(rows: DataFrame, block: str, tile: int) -> DataFrame:
+    """(block, a, b, level): unequal names of one block at level 1 or 2, each distinct pair of names compared once."""
+    held = rows.filter(F.col(block).isNotNull() & F.col("cleaned_name").isNotNull()).groupBy(block, "cleaned_name").agg(F.count(F.lit(1)).alias("_n"))
+    listed = checkpoint(held.select(F.col("cleaned_name").alias("profile_id"), F.col(block).alias("_key")))
+    met = block_pairs(listed, [F.col("_key")], tile).distinct()
+    level = similarity.name_level(F.col("profile_l"), F.col("profile_r"))
+    close = checkpoint(met.withColumn("level", level).filter("level IN (1, 2)"))
+    at_a = listed.select(F.col("profile_id").alias("profile_l"), "_key")
+    at_b = listed.select(F.col("profile_id").alias("profile_r"), "_key")
+    return close.join(at_a, "profile_l").join(at_b, ["profile_r", "_key"]).select(F.col("_key").alias(block), F.col("profile_l").alias("a"), F.col("profile_r").alias("b"), "level")
+
+
+def pattern_counts(rows: DataFrame, block: str, tile: int = TILE) -> list[dict]:
+    """What ``training_patterns`` counts over all pairs of a block, from group sizes instead of pairs.
+
+    Equality levels come from ``_equality_counts``, so a block may hold any number of records. Only pairs of similar but
+    unequal names are formed, by distinct name; all other unequal names are the rest.
+    """
+    columns = [c for c in COMPARED if c != block]
+    counts = _equality_counts(rows, block, columns)
+    levels = {c: (-1, 0, EXACT[c]) for c in columns}
+    out: dict[tuple, float] = {}
+    for at in product(range(3), repeat=len(columns)):
+        if counts[at] > 0:
+            out[tuple(levels[c][k] for c, k in zip(columns, at))] = float(counts[at])
+    if "cleaned_name" in columns:
+        rest = [c for c in columns if c != "cleaned_name"]
+        side = lambda x, name: rows.groupBy(block, "cleaned_name", *rest).agg(F.sum("n_records").alias("n")).select(
+            F.col(block).alias("_key"), F.col("cleaned_name").alias(name), *[F.col(c).alias(f"{c}_{x}") for c in rest], F.col("n").alias(f"n_{x}")
+        )
+        close = _similar_names(rows, block, tile).withColumnRenamed(block, "_key")
+        pairs = close.join(side("l", "a"), ["_key", "a"]).join(side("r", "b"), ["_key", "b"])
+        weight = F.col("n_l").cast("double") * F.col("n_r")
+        seen = with_gammas(pairs, rest).groupBy("level", *[f"g_{c}" for c in rest]).agg(F.sum(weight).alias("w"))
+        for r in seen.collect():
+            similar, unlike = (tuple(name if c == "cleaned_name" else r[f"g_{c}"] for c in columns) for name in (r["level"], 0))
+            out[similar] = out.get(similar, 0.0) + r["w"]
+            out[unlike] -= r["w"]
+    return [{**{f"g_{c}": k for c, k in zip(columns, key)}, "w": w} for key, w in sorted(out.items()) if w > 0]
+
+
 def fit(patterns: list[dict], columns: list[str], model: Model, rounds: int = 50) -> dict:
     """Expectation maximisation over pattern counts (a few hundred rows at most)."""
     if not patterns:
@@ -395,7 +466,10 @@ def train(rows: DataFrame, partners: int | None = None, u_pairs: int = U_PAIRS)
     found: dict[str, list[np.ndarray]] = {c: [] for c in COMPARED}
     for block in ("bn_root", "cleaned_name"):
         columns = [c for c in COMPARED if c != block]
-        patterns = [r.asDict() for r in training_patterns(rows, block, partners).collect()]
+        if partners is None:
+            patterns = pattern_counts(rows, block)
+        else:
+            patterns = [r.asDict() for r in training_patterns(rows, block, partners).collect()]
         for column, m in fit(patterns, columns, model).items():
             found[column].append(m)
     for column, estimates in found.items():
