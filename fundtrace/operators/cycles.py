@@ -16,9 +16,9 @@ from fundtrace.sources.warehouse import Warehouse
 BROADCAST_LOOPS = 10_000
 
 
-def gift_graph(gifts: DataFrame, min_edge_amount: float) -> DataFrame:
-    """Donor-to-donee totals of at least ``min_edge_amount``, without self-gifts."""
-    return (
+def gift_graph(gifts: DataFrame, min_edge_amount: float | None) -> DataFrame:
+    """Donor-to-donee totals of at least ``min_edge_amount`` (``None``: all), without self-gifts."""
+    totals = (
         gifts.filter("total_gifts > 0 AND donee_bn IS NOT NULL")
         .select(
             ids.bn_left(F.col("bn")).alias("src"),
@@ -33,34 +33,43 @@ def gift_graph(gifts: DataFrame, min_edge_amount: float) -> DataFrame:
             F.min("year").alias("min_year"),
             F.max("year").alias("max_year"),
         )
-        .filter(F.col("amt") >= F.lit(min_edge_amount))
     )
+    return totals if min_edge_amount is None else totals.filter(F.col("amt") >= F.lit(min_edge_amount))
+
 
+def prune(edges: DataFrame, goes_on: float = 0.02) -> DataFrame:
+    """``edges`` without those that cannot lie on a loop: their end gives nothing or their start gets nothing.
 
-def prune(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Drop edges that cannot lie on a loop: their end gives nothing or their start gets nothing."""
-    for _ in range(rounds):
+    Rounds go on to the fixed point, but no longer than each still drops a share of ``goes_on`` of the edges: what a longer
+    chain of few edges leaves behind costs less than its rounds.
+    """
+    edges = checkpoint(edges)
+    size = edges.count()
+    while size:
         givers = edges.select(F.col("src").alias("dst")).distinct()
         takers = edges.select(F.col("dst").alias("src")).distinct()
-        edges = edges.join(givers, "dst", "left_semi").join(takers, "src", "left_semi")
-    return edges.select("src", "dst", "amt", "min_year", "max_year")
+        edges = checkpoint(edges.join(givers, "dst", "left_semi").join(takers, "src", "left_semi"))
+        before, size = size, edges.count()
+        if before - size <= goes_on * before:
+            break
+    return edges
 
 
-def _step(edges: DataFrame, near: str, far: str) -> DataFrame:
-    return edges.select(
-        F.col(near).alias("at"),
-        F.col(far).alias("next"),
-        F.col("amt").alias("e_amt"),
-        F.col("min_year").alias("e_min"),
-        F.col("max_year").alias("e_max"),
-    )
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with long ids (bn, id) that rise with a node's degree, so hubs have the largest."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("bn")).groupBy("bn").agg(F.count(F.lit(1)).alias("degree"))
+    # Ids are dealt out in the order of the ranges and stored, so they are read the same by every step.
+    ranged = ends.repartitionByRange("degree", "bn").sortWithinPartitions("degree", "bn")
+    nodes = checkpoint(ranged.select("bn", F.monotonically_increasing_id().alias("id")))
+    for side in ("src", "dst"):
+        edges = edges.withColumnRenamed(side, "bn").join(nodes, "bn").drop("bn").withColumnRenamed("id", side)
+    return nodes, checkpoint(edges.select("src", "dst", "amt", "min_year", "max_year"))
 
 
 def _first(edges: DataFrame, start: str, other: str) -> DataFrame:
-    return edges.filter(F.col(other) > F.col(start)).select(
+    return edges.filter(F.col(other) < F.col(start)).select(
         F.col(start).alias("start"),
-        F.col(other).alias("at"),
-        F.array(F.col(other)).alias("nodes"),
+        F.col(other).alias("v1"),
         F.col("amt").alias("flow"),
         F.col("amt").alias("least"),
         "min_year",
@@ -68,16 +77,21 @@ def _first(edges: DataFrame, start: str, other: str) -> DataFrame:
     )
 
 
-def _grow(paths: DataFrame, steps: DataFrame, forward: bool) -> DataFrame:
-    """Paths one edge longer that stay above their start and visit no node twice."""
-    grown = paths.join(steps, "at").filter(
-        (F.col("next") > F.col("start")) & ~F.array_contains("nodes", F.col("next"))
+def _grow(paths: DataFrame, edges: DataFrame, near: str, far: str, size: int) -> DataFrame:
+    """Paths of ``size`` edges made one longer, below their start and without a node twice."""
+    steps = edges.select(
+        F.col(near).alias("at"),
+        F.col(far).alias("next"),
+        F.col("amt").alias("e_amt"),
+        F.col("min_year").alias("e_min"),
+        F.col("max_year").alias("e_max"),
     )
-    nodes = F.array_append("nodes", F.col("next")) if forward else F.array_prepend("nodes", F.col("next"))
-    return grown.select(
+    seen = [f"v{i}" for i in range(1, size + 1)]
+    fresh = reduce(lambda a, b: a & b, [F.col("next") != F.col(v) for v in seen], F.col("next") < F.col("start"))
+    return paths.join(steps, (F.col(f"v{size}") == F.col("at")) & fresh).select(
         "start",
-        F.col("next").alias("at"),
-        nodes.alias("nodes"),
+        *seen,
+        F.col("next").alias(f"v{size + 1}"),
         (F.col("flow") + F.col("e_amt")).cast("decimal(28,2)").alias("flow"),
         F.least("least", "e_amt").alias("least"),
         F.least("min_year", "e_min").alias("min_year"),
@@ -85,43 +99,50 @@ def _grow(paths: DataFrame, steps: DataFrame, forward: bool) -> DataFrame:
     )
 
 
+def _met(ahead: DataFrame, back: DataFrame, out: int, home: int) -> DataFrame:
+    """Loops of ``out`` + ``home`` edges: paths out of a start that end where paths back to it begin."""
+    first, last = [f"a.v{i}" for i in range(1, out + 1)], [f"b.v{i}" for i in range(home - 1, 0, -1)]
+    apart = [F.col(x) != F.col(y) for x in first for y in last]
+    here = (F.col("a.start") == F.col("b.start")) & (F.col(f"a.v{out}") == F.col(f"b.v{home}"))
+    return ahead.alias("a").join(back.alias("b"), reduce(lambda x, y: x & y, apart, here)).select(
+        F.array("a.start", *first, *last).alias("path"),
+        F.lit(out + home).alias("hops"),
+        (F.col("a.flow") + F.col("b.flow")).cast("decimal(28,2)").alias("total_flow"),
+        F.least("a.least", "b.least").alias("bottleneck_amt"),
+        F.least("a.min_year", "b.min_year").alias("min_year"),
+        F.greatest("a.max_year", "b.max_year").alias("max_year"),
+    )
+
+
 def find_loops(edges: DataFrame, max_hops: int = 6) -> DataFrame:
-    """All simple loops of two to ``max_hops`` edges, each starting at its smallest node.
+    """All simple loops of two to ``max_hops`` edges, each listed from its smallest number on.
 
-    A loop of n edges is met in the middle: a path of ceil(n/2) edges out of the start joins a
-    path of floor(n/2) edges back to it, so no path longer than half a loop is ever built.
+    A loop is found from its node of the highest degree, through nodes of lower degree only, so a hub is never in the
+    middle of a path and the paths of two edges are at most edges x sqrt(edges). A loop of n edges is met in the middle:
+    a path of ceil(n/2) edges out of the start joins a path of floor(n/2) edges back to it.
     """
-    out_steps, in_steps = _step(edges, "src", "dst"), _step(edges, "dst", "src")
-    ahead = {1: _first(edges, "src", "dst")}
-    back = {1: _first(edges, "dst", "src")}
-    for n in range(2, (max_hops + 1) // 2 + 1):
-        ahead[n] = checkpoint(_grow(ahead[n - 1], out_steps, forward=True))
-    for n in range(2, max_hops // 2 + 1):
-        back[n] = checkpoint(_grow(back[n - 1], in_steps, forward=False))
-    found = []
-    for hops in range(2, max_hops + 1):
-        a = ahead[(hops + 1) // 2].alias("a")
-        b = back[hops // 2].alias("b")
-        rest = F.slice(F.col("b.nodes"), 2, max_hops)
-        found.append(
-            a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.at") == F.col("b.at")))
-            .filter(~F.arrays_overlap(F.col("a.nodes"), rest))
-            .select(
-                F.concat(F.array(F.col("a.start")), F.col("a.nodes"), rest).alias("path_bns"),
-                F.lit(hops).alias("hops"),
-                (F.col("a.flow") + F.col("b.flow")).cast("decimal(28,2)").alias("total_flow"),
-                F.least("a.least", "b.least").alias("bottleneck_amt"),
-                F.least("a.min_year", "b.min_year").alias("min_year"),
-                F.greatest("a.max_year", "b.max_year").alias("max_year"),
-            )
-        )
-    return reduce(DataFrame.unionByName, found).withColumn("id", F.array_join("path_bns", "-"))
+    nodes, edges = numbered(edges)
+    ahead, back = {1: _first(edges, "src", "dst")}, {1: _first(edges, "dst", "src")}
+    for n in range(1, (max_hops + 1) // 2):
+        ahead[n + 1] = checkpoint(_grow(ahead[n], edges, "src", "dst", n))
+    for n in range(1, max_hops // 2):
+        back[n + 1] = checkpoint(_grow(back[n], edges, "dst", "src", n))
+    sizes = range(2, max_hops + 1)
+    found = reduce(DataFrame.unionByName, [_met(ahead[(n + 1) // 2], back[n // 2], (n + 1) // 2, n // 2) for n in sizes])
+    found = checkpoint(found.withColumn("loop", F.monotonically_increasing_id()))
+    placed = found.select("loop", F.posexplode("path").alias("pos", "id")).join(nodes, "id")
+    named = placed.groupBy("loop").agg(F.sort_array(F.collect_list(F.struct("pos", "bn")))["bn"].alias("bns"))
+    begin = F.array_position("bns", F.array_min("bns")).cast("int")
+    path = F.concat(F.slice("bns", begin, F.size("bns")), F.slice("bns", F.lit(1), begin - 1))
+    loops = found.drop("path").join(named, "loop").withColumn("path_bns", path)
+    return loops.select(
+        "path_bns", "hops", "total_flow", "bottleneck_amt", "min_year", "max_year", F.array_join("path_bns", "-").alias("id")
+    )
 
 
-def detect(gifts: DataFrame, min_edge_amount: float, max_hops: int = 6) -> dict[str, DataFrame]:
+def detect(gifts: DataFrame, min_edge_amount: float | None, max_hops: int = 6) -> dict[str, DataFrame]:
     """The three loop tables, detected in the gifts. ``id`` is the path itself."""
-    graph = checkpoint(gift_graph(gifts, min_edge_amount))
-    edges = checkpoint(prune(graph))
+    edges = prune(gift_graph(gifts, min_edge_amount))
     loops = checkpoint(find_loops(edges, max_hops))
     used = path_pairs(loops).select("src_bn", "dst_bn").distinct()
     loop_edges = used.join(

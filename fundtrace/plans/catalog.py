@@ -410,6 +410,11 @@ def _(r: Run):
     return found["loops"]
 
 
+@query("g16_all_short_loops")
+def _(r: Run):
+    return cycles.detect(r.wh.gifts, min_edge_amount=None, max_hops=3)["loops"]
+
+
 @query("g16_loop_edges")
 def _(r: Run):
     return r.wh.loop_edges

@@ -807,6 +807,14 @@ BODIES: dict[str, str] = {
     "g16_cycle_detection": (
         "SELECT array_to_string(path_bns, ',') AS path_bns, hops, CAST(total_flow AS DOUBLE) AS total_flow, CAST(bottleneck_amt AS DOUBLE) AS bottleneck_amt, min_year, max_year, id FROM loops"
     ),
+    "g16_all_short_loops": (
+        "WITH g AS MATERIALIZED (SELECT s AS src, d AS dst, CAST(sum(amount) AS DECIMAL(28,2)) AS amt, min(year(date)) AS y0, max(year(date)) AS y1 FROM gift_rows WHERE s <> d GROUP BY 1, 2), "
+        "l AS (SELECT [a.src, a.dst] AS p, CAST(a.amt + b.amt AS DECIMAL(28,2)) AS flow, least(a.amt, b.amt) AS low, least(a.y0, b.y0) AS y0, greatest(a.y1, b.y1) AS y1 "
+        "FROM g a JOIN g b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL "
+        "SELECT [a.src, a.dst, b.dst], CAST(a.amt + b.amt + c.amt AS DECIMAL(28,2)), least(a.amt, b.amt, c.amt), least(a.y0, b.y0, c.y0), greatest(a.y1, b.y1, c.y1) "
+        "FROM g a JOIN g b ON b.src = a.dst JOIN g c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst) "
+        "SELECT array_to_string(p, ',') AS path_bns, len(p) AS hops, CAST(flow AS DOUBLE) AS total_flow, CAST(low AS DOUBLE) AS bottleneck_amt, y0 AS min_year, y1 AS max_year, array_to_string(p, '-') AS id FROM l"
+    ),
     "g16_loop_edges": "SELECT src, dst, CAST(total_amt AS DOUBLE) AS total_amt, min_year, max_year FROM loop_edges",
     "g16_loop_participants": "SELECT bn FROM loop_participants",
     **{

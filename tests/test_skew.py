@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import fixtures
 from conftest import rows
-from fundtrace.operators import linkage, pairs
+from fundtrace.operators import cycles, linkage, pairs
 from fundtrace.sources.warehouse import Warehouse
 
 
@@ -216,3 +216,65 @@ def test_training_counts_every_pair_of_a_large_block(spark):
     for kwargs in ({}, {"tile": 300}):
         got = linkage.training_patterns(rows, "cleaned_name", **kwargs).collect()
         assert {tuple(r)[:4]: r.w for r in got} == +want
+
+
+def profiles_with_nulls(spark, count, seed, hot=0):
+    rng = random.Random(seed)
+    names = ["alpha house", "alpha hause", "alpha housing", "beta", "gamma group", "gamma groups", None]
+    some = lambda *values: rng.choice([None, *values])
+    found = {
+        (some("1", "2", "3") if i >= hot else "9", rng.choice(names), some("x", "y"), some("ab", "on"), some("charity", "business")) for i in range(count)
+    }
+    listed = [(f"p{i}", *values, rng.randint(1, 4)) for i, values in enumerate(sorted(found, key=repr))]
+    return spark.createDataFrame(listed, "profile_id string, bn_root string, cleaned_name string, city string, province string, entity_type string, n_records bigint")
+
+
+@pytest.mark.parametrize("block", ["bn_root", "cleaned_name"])
+def test_patterns_from_group_sizes_equal_all_pairs(spark, block):
+    listed = profiles_with_nulls(spark, 250, 3)
+    gammas = [f"g_{c}" for c in linkage.COMPARED if c != block]
+    want = {tuple(r[g] for g in gammas): r["w"] for r in linkage.training_patterns(listed, block).collect()}
+    got = {tuple(p[g] for g in gammas): p["w"] for p in linkage.pattern_counts(listed, block, tile=2)}
+    assert got == want and len(want) > 20
+
+
+def test_a_hot_name_needs_no_pairs(spark):
+    """200,000 profiles of one name: 2e10 pairs, counted from group sizes."""
+    n = 200_000
+    listed = spark.range(n).selectExpr(
+        "concat('p', id) AS profile_id", "cast(id AS string) AS bn_root", "'one name' AS cleaned_name", "cast(id % 2 AS string) AS city",
+        "cast(NULL AS string) AS province", "'charity' AS entity_type", "1L AS n_records",
+    )
+    got = {(p["g_bn_root"], p["g_city"], p["g_province"], p["g_entity_type"]): p["w"] for p in linkage.pattern_counts(listed, "cleaned_name")}
+    half = n // 2
+    assert got == {(0, 1, -1, 1): half * (half - 1.0), (0, 0, -1, 1): float(half) * half}
+
+
+def test_loops_never_pass_a_hub_in_the_middle(spark):
+    """A hub gives to and takes from 400 nodes: 160,000 paths of two edges lead through it, none is formed."""
+    rng = random.Random(4)
+    leaves = [f"L{i:03d}" for i in range(400)]
+    links = {("HUB", x) for x in leaves} | {(x, "HUB") for x in leaves}
+    links |= {(rng.choice(leaves), rng.choice(leaves)) for _ in range(60)}
+    links = {(a, b) for a, b in links if a != b}
+    edges = spark.createDataFrame([(a, b, Decimal(len(b)), 2000, 2001) for a, b in links], "src string, dst string, amt decimal(28,2), min_year int, max_year int")
+    _, numbered = cycles.numbered(edges)
+    two = cycles._grow(cycles._first(numbered, "src", "dst"), numbered, "src", "dst", 1)
+    assert two.count() < 4 * len(links)
+    nexts: dict = {}
+    for a, b in links:
+        nexts.setdefault(a, []).append(b)
+    want = set()
+    for start in sorted(nexts):
+        paths = [[start]]
+        for _ in range(4):
+            longer = [[*p, x] for p in paths for x in nexts.get(p[-1], ()) if x == start or (x > start and x not in p)]
+            want |= {"-".join(p[:-1]) for p in longer if p[-1] == start}
+            paths = [p for p in longer if p[-1] != start]
+    assert {r["id"] for r in cycles.find_loops(edges, 4).select("id").collect()} == want
+
+
+def test_pruning_ends_at_the_fixed_point(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)] + [("a", "b"), ("b", "a")]
+    edges = spark.createDataFrame([(a, b, Decimal(1), 2000, 2000) for a, b in chain], "src string, dst string, amt decimal(28,2), min_year int, max_year int")
+    assert rows(cycles.prune(edges, goes_on=0), "src", "dst") == [("a", "b"), ("b", "a")]
