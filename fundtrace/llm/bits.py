@@ -20,9 +20,9 @@ def bit_map(tokens: DataFrame, longest: int = LONGEST) -> np.ndarray:
         bits <<= 1
     slots = tokens.select(F.col("token").bitwiseAND(bits - 1).alias("slot"))
     parts = slots.groupBy(F.expr("slot >> 6").alias("at")).agg(F.expr("bit_or(1L << int(slot & 63))").alias("bits"))
-    rows = parts.toPandas()
+    rows = parts.toArrow()  # columns of numbers: 16 bytes a row, at most LONGEST / 64 rows
     out = np.zeros(bits >> 6, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
