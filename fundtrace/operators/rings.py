@@ -185,10 +185,13 @@ def edges_inside(rings: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(at_from, "from_entity_id").join(at_to, ["ring_id", "to_entity_id"])
 
 
-def top_rings(wh: Warehouse, n: int = 20, rings: DataFrame | None = None) -> DataFrame:
-    """Rings with the gifts inside them as evidence, scored; the ``n`` best by score and amount."""
+def top_rings(wh: Warehouse, n: int = 20, rings: DataFrame | None = None, gift_limit: int | None = 2000) -> DataFrame:
+    """Rings with the gifts inside them as evidence, scored; the ``n`` best by score and amount.
+
+    Evidence comes from the ``gift_limit`` largest gifts among all rings' members (``None``: all gifts).
+    """
     rings = checkpoint(find_related_party_rings(wh) if rings is None else rings)
-    gifts = ring_funding_edges(wh, ring_members(rings))
+    gifts = ring_funding_edges(wh, ring_members(rings), gift_limit)
     edge = F.struct(
         F.col("from_entity_id"),
         F.col("to_entity_id"),
@@ -199,7 +202,7 @@ def top_rings(wh: Warehouse, n: int = 20, rings: DataFrame | None = None) -> Dat
         F.col("mapping_method"),
         F.col("confidence_score"),
     )
-    # The gift report holds 2000 rows at most, so a ring's list does too.
+    # With a limit the gift report is that long at most, and so is a ring's list.
     inside = (
         edges_inside(rings, gifts)
         .groupBy("ring_id")

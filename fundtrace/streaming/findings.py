@@ -68,7 +68,7 @@ def analyze(
     source: str,
     prior_ring_ids: DataFrame,
     order: str | None = None,
-    limit: int = 5000,
+    limit: int | None = 5000,
 ) -> DataFrame:
     """One finding per ring that a resolved row touches, with the largest trigger.
 

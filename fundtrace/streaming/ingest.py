@@ -1,12 +1,15 @@
 """Continuous ingest: one streaming query per feed (SRC5, SRC6, SNK3, ST1, ST2, ST8).
 
-A feed is a folder of JSON files. Every micro-batch is validated, resolved, analysed and written to
-folders named after the source and the batch number, so a batch that is replayed after a failure
-overwrites its own output and nothing is lost or doubled.
+A feed is a folder of JSON files. Every micro-batch is validated, resolved and analysed. Its tables go to folders of the
+attempt that wrote them, which nobody overwrites; one small file, written last and moved into place in one step,
+publishes the attempt. Readers follow these files, so they see a batch whole or not at all, also while another feed
+writes or after one failed midway. A published batch that is replayed adds nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 from functools import partial
 
@@ -38,6 +41,8 @@ class Feed:
     source_url: str | None = None
     # How many of the newest findings tell a new ring from a known one; None takes all.
     prior_findings: int | None = finding_ops.PRIOR_FINDINGS
+    # How many of the largest loops are looked at; None takes all.
+    loops: int | None = 5000
 
 
 def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
@@ -56,18 +61,56 @@ def new_rows(lines: DataFrame, feed: Feed, batch: int) -> DataFrame:
     return rows.join(earlier.select(F.col("external_id").alias("_id")).distinct(), "_id", "left_anti")
 
 
-def _folder(feed: Feed, table: str, batch: int) -> str:
-    return f"{feed.out}/{table}/feed={feed.source}/batch={batch}"
+_PUBLISHED = "feed string, batch bigint, attempt string"
+
+
+def _folder(feed: Feed, table: str, batch: int, attempt: str) -> str:
+    return f"{feed.out}/{table}/feed={feed.source}/batch={batch}/attempt={attempt}"
+
+
+def _published_file(spark: SparkSession, feed: Feed, batch: int, folder: str = "_published"):
+    """File system and path of the file that publishes a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{feed.out}/{folder}/{feed.source}-{batch}.json")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def is_published(spark: SparkSession, feed: Feed, batch: int) -> bool:
+    files, path = _published_file(spark, feed, batch)
+    return files.exists(path)
+
+
+def publish(spark: SparkSession, feed: Feed, batch: int, attempt: str) -> None:
+    """Make an attempt's folders the batch's result: written beside its place, then renamed."""
+    files, path = _published_file(spark, feed, batch)
+    _, beside = _published_file(spark, feed, batch, f"_publishing/{attempt}")
+    out = files.create(beside, True)
+    out.write(json.dumps({"feed": feed.source, "batch": batch, "attempt": attempt}).encode())
+    out.close()
+    files.mkdirs(path.getParent())
+    if not files.rename(beside, path) and not files.exists(path):
+        raise OSError(f"cannot publish {path}")
+
+
+def published(spark: SparkSession, out: str) -> DataFrame:
+    """(feed, batch, attempt) of every published batch."""
+    try:
+        return spark.read.schema(_PUBLISHED).json(f"{out}/_published/")
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
+        return spark.createDataFrame([], _PUBLISHED)
 
 
 def read_table(spark: SparkSession, out: str, table: str, ddl: str) -> DataFrame:
-    """A result table over all feeds and batches; empty before the first write."""
+    """A result table over all feeds and published batches; empty before the first."""
     try:
-        return spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}")
+        rows = spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}")
     except AnalysisException as error:
         if not is_absent(error):
             raise
         return empty(spark, f"{ddl}, feed string, batch bigint")
+    keys = ["feed", "batch", "attempt"]
+    return rows.join(published(spark, out), keys, "left_semi").select(*[c for c in rows.columns if c != "attempt"])
 
 
 def prior_ring_ids(spark: SparkSession, feed: Feed, batch: int) -> DataFrame:
@@ -92,7 +135,9 @@ def process_batch(
 ) -> None:
     """Validate, quarantine, resolve, analyse and store one micro-batch of feed lines (value)."""
     spark = lines.sparkSession
-    batch_id = f"{feed.source}-{batch}"
+    if is_published(spark, feed, batch):
+        return
+    batch_id, attempt = f"{feed.source}-{batch}", f"a{uuid.uuid4().hex}"
     provenance = {
         "resource_id": F.lit(feed.resource_id).cast("string"),
         "source_url": F.lit(feed.source_url).cast("string"),
@@ -102,7 +147,7 @@ def process_batch(
         checked = checkpoint(validate.checked(new_rows(lines, feed, batch), feed.source, F.lit(batch_id)))
 
         def store(df: DataFrame, table: str) -> None:
-            df.write.mode("overwrite").parquet(_folder(feed, table, batch))
+            df.write.parquet(_folder(feed, table, batch, attempt))
 
         store(
             validate.quarantine(checked, feed.source).withColumn("created_at", F.current_timestamp()),
@@ -113,11 +158,12 @@ def process_batch(
         good = validate.valid_rows(checked)
         resolved = resolve.resolve_rows(good, feed.source, index, "_order")
         found = finding_ops.analyze(
-            wh, good, resolved, index, feed.source, prior_ring_ids(spark, feed, batch), order="_order"
+            wh, good, resolved, index, feed.source, prior_ring_ids(spark, feed, batch), order="_order", limit=feed.loops
         )
         store(found.withColumn("created_at", F.current_timestamp()).withColumns(provenance), "findings")
-        # Last: only then does another batch pass the ids over.
         store(checked.filter("trim(_id) <> ''").select(F.col("_id").alias("external_id")).distinct(), "seen")
+        # Last: only then is anything of it read, and do other batches pass its ids over.
+        publish(spark, feed, batch, attempt)
 
 
 def start(

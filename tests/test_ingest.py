@@ -196,6 +196,41 @@ def test_known_rings_of_any_age(spark, feed):
     assert (3, "expanded_ring") in rows(table(spark, feed, "findings"), "batch", "finding_type")
 
 
+def test_readers_see_whole_batches_only(spark, feed, tmp_path, monkeypatch):
+    """A batch that fails after some of its tables leaves nothing to read, its retry is whole, and other feeds go on."""
+    wh = fixtures.three_entities(spark)
+    index = resolve.build_index(wh)
+    other = ingest.Feed("cra_t3010", feed.inbox, feed.out)
+    line = lambda k: spark.createDataFrame([(json.dumps({**GOOD, "_id": k}),)], "value string")
+    ingest.process_batch(line("1"), 0, feed, wh, index)
+    with monkeypatch.context() as patch:
+        patch.setattr(ingest.finding_ops, "analyze", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest.process_batch(line("2"), 1, feed, wh, index)
+    read = lambda name: rows(ingest.read_table(spark, feed.out, name, "x int"), "feed", "batch")
+    # The failed attempt's folders are there, but unpublished.
+    assert spark.read.parquet(f"{feed.out}/ledger").count() == 2
+    assert read("ledger") == [("fed_grants", 0)]
+    ingest.process_batch(line("3"), 0, other, wh, index)
+    ingest.process_batch(line("2"), 1, feed, wh, index)
+    assert read("ledger") == [("cra_t3010", 0), ("fed_grants", 0), ("fed_grants", 1)]
+    assert rows(ingest.read_table(spark, feed.out, "seen", "external_id string"), "external_id") == [("1",), ("2",), ("3",)]
+    # Replays of published batches add nothing.
+    ingest.process_batch(line("9"), 1, feed, wh, index)
+    assert read("ledger") == [("cra_t3010", 0), ("fed_grants", 0), ("fed_grants", 1)]
+
+
+def test_loops_beyond_the_limit(spark, feed):
+    """A feed looks at its ``loops`` largest loops; None at all of them."""
+    wh = fixtures.three_entities(spark)
+    index = resolve.build_index(wh)
+    data = spark.createDataFrame([(json.dumps(GOOD),)], "value string")
+    for k, (limit, found) in enumerate([(0, 0), (None, 1)]):
+        one = ingest.Feed(feed.source, feed.inbox, f"{feed.out}-{k}", loops=limit)
+        ingest.process_batch(data, 0, one, wh, index)
+        assert ingest.read_table(spark, one.out, "findings", schemas.FINDING).count() == found
+
+
 def test_one_failing_feed_does_not_stop_the_others(spark, feed, tmp_path):
     wh = fixtures.three_entities(spark)
     put(tmp_path / "in", "a.json", GOOD)
