@@ -21,6 +21,7 @@ from fundtrace.operators import (
     graph,
     linkage,
     pairs,
+    patterns,
     resolve,
     rings,
     risk,
@@ -425,6 +426,40 @@ def _(r: Run):
     return r.wh.table("loop_participants")
 
 
+# --- policy patterns --------------------------------------------------------------------------
+
+
+@query("x1_conduits")
+def _(r: Run):
+    """The derived money is thin, so a hundredth passed on counts here, with or without shared directors."""
+    return patterns.conduits(r.wh, min_share=0.01, min_shared=0)
+
+
+@query("x2_pass_through")
+def _(r: Run):
+    return patterns.pass_through(r.wh, min_share=0.05)
+
+
+@query("x3_department_concentration")
+def _(r: Run):
+    return patterns.department_concentration(r.wh)
+
+
+@query("x4_lobbyist_charities")
+def _(r: Run):
+    return patterns.lobbyist_charities(r.wh)
+
+
+@query("x6_revolving_door")
+def _(r: Run):
+    return patterns.revolving_door(r.wh)
+
+
+@query("x6_contact_before_award")
+def _(r: Run):
+    return patterns.contact_before_award(r.wh)
+
+
 # --- scoring ----------------------------------------------------------------------------------
 
 

@@ -559,6 +559,33 @@ SHARED["finding_rows"] = (
     "JOIN (SELECT 'cra-cycle-' || cycle_id AS ring_id, ids, total_amount FROM cycle_lists) c USING (ring_id) JOIN ring_names USING (ring_id)"
 )
 
+_PERSON = _norm("first_name", "last_name")
+SHARED |= {
+    "received": (
+        "SELECT e.bn_root AS a, CAST(year(p.date) AS INT) AS y, sum(p.amount) AS received FROM public_edges p JOIN entity_golden_records e ON e.id = p.to_entity_id "
+        "WHERE e.bn_root IS NOT NULL AND p.date IS NOT NULL GROUP BY 1, 2"
+    ),
+    "yearly_gifts": "SELECT s, d, CAST(year(date) AS INT) AS y, sum(amount) AS amt FROM gift_rows WHERE s <> d GROUP BY 1, 2, 3",
+    "onward": (
+        "SELECT r.a, g.d AS b, r.y, any_value(r.received) AS received, sum(g.amt) AS amt FROM received r JOIN yearly_gifts g ON g.s = r.a AND g.y BETWEEN r.y AND r.y + 1 GROUP BY 1, 2, 3"
+    ),
+    "common_directors": (
+        "SELECT x.root AS a, z.root AS b, count(DISTINCT x.nm) AS n FROM filings x JOIN filings z ON z.nm = x.nm WHERE x.nm <> '' "
+        "AND (x.root, z.root) IN (SELECT (s, d) FROM yearly_gifts) GROUP BY 1, 2"
+    ),
+    "department_grants": (
+        "SELECT DISTINCT l.entity_id, e.bn_root AS bn, g.owner_org AS department, CAST(year(g.agreement_start_date) AS INT) AS y, g.agreement_value AS amount, g._id "
+        "FROM entity_source_links l JOIN current_grants g ON g._id = TRY_CAST(json_extract_string(l.source_pk, '$._id') AS BIGINT) JOIN entity_golden_records e ON e.id = l.entity_id "
+        "WHERE l.source_schema = 'fed' AND l.source_table = 'grants_contributions' AND g.agreement_value > 0 AND g.owner_org IS NOT NULL AND e.bn_root IS NOT NULL"
+    ),
+    "department_paid": "SELECT bn, department, sum(amount) AS total FROM department_grants GROUP BY 1, 2",
+    "registered": (
+        f"SELECT registration_id, {_PERSON} AS person, left(client_bn, 9) AS client, department, filed_on FROM lobby_registrations "
+        f"WHERE {_PERSON} <> '' AND department IS NOT NULL"
+    ),
+    "offices": f"SELECT DISTINCT {_PERSON} AS person, department, ended_on FROM former_offices WHERE {_PERSON} <> ''",
+}
+
 # Steps that several others read: evaluated once.
 _MATERIALIZED = {
     "loops", "loop_edges", "headers", "cycle_lists", "filings", "org_directors", "money", "copies", "gift_graph", "records", "profiles",
@@ -608,6 +635,40 @@ _TOP_RING = "(SELECT entity_id FROM header_members WHERE cycle_id = (SELECT cycl
 
 
 BODIES: dict[str, str] = {
+    "x1_conduits": (
+        "SELECT o.a, o.b, o.y AS year, CAST(o.received AS DOUBLE) AS received, CAST(o.amt AS DOUBLE) AS onward, CAST(sum(g.amt) AS DOUBLE) AS returned, coalesce(any_value(c.n), 0) AS shared_directors "
+        "FROM onward o JOIN yearly_gifts g ON g.s = o.b AND g.d = o.a AND g.y BETWEEN o.y AND o.y + 1 LEFT JOIN common_directors c ON c.a = o.a AND c.b = o.b "
+        "WHERE CAST(o.amt AS DOUBLE) >= 0.01::DOUBLE * CAST(o.received AS DOUBLE) GROUP BY o.a, o.b, o.y, o.received, o.amt"
+    ),
+    "x2_pass_through": (
+        "SELECT o.a, o.b, g.d AS c, o.y AS year, CAST(o.received AS DOUBLE) AS received, CAST(o.amt AS DOUBLE) AS passed_on, CAST(sum(g.amt) AS DOUBLE) AS reached, "
+        "least(CAST(o.amt AS DOUBLE), CAST(sum(g.amt) AS DOUBLE)) / CAST(o.received AS DOUBLE) AS share, any_value(c.n) AS shared_directors "
+        "FROM onward o JOIN common_directors c ON c.a = o.a AND c.b = o.b JOIN yearly_gifts g ON g.s = o.b AND g.y BETWEEN o.y AND o.y + 1 AND g.d <> o.a "
+        "WHERE CAST(o.amt AS DOUBLE) >= 0.05::DOUBLE * CAST(o.received AS DOUBLE) GROUP BY o.a, o.b, g.d, o.y, o.received, o.amt "
+        "HAVING CAST(sum(g.amt) AS DOUBLE) >= 0.05::DOUBLE * CAST(o.received AS DOUBLE)"
+    ),
+    "x3_department_concentration": (
+        "SELECT bn, y AS year, count(DISTINCT department) AS departments, CAST(sum(amount) AS DOUBLE) AS total FROM department_grants WHERE y IS NOT NULL "
+        "GROUP BY 1, 2 HAVING count(DISTINCT department) >= 3 AND sum(amount) > 500000"
+    ),
+    "x4_lobbyist_charities": (
+        "SELECT l.person, l.client, l.department, f.root AS charity, l.n AS registrations, CAST(p.total AS DOUBLE) AS client_total, CAST(q.total AS DOUBLE) AS charity_total "
+        "FROM (SELECT person, client, department, count(DISTINCT registration_id) AS n FROM registered GROUP BY 1, 2, 3) l "
+        "JOIN department_paid p ON p.bn = l.client AND p.department = l.department JOIN (SELECT DISTINCT root, nm FROM filings) f ON f.nm = l.person "
+        "JOIN department_paid q ON q.bn = f.root AND q.department = l.department"
+    ),
+    "x6_revolving_door": (
+        "SELECT r.person, r.department, CAST(o.ended_on AS VARCHAR) AS ended_on, r.registration_id, r.client, CAST(r.filed_on AS VARCHAR) AS filed_on, CAST(p.total AS DOUBLE) AS client_total "
+        "FROM registered r JOIN offices o ON o.person = r.person AND o.department = r.department AND r.filed_on > o.ended_on AND r.filed_on <= o.ended_on + INTERVAL 5 YEAR "
+        "JOIN department_paid p ON p.bn = r.client AND p.department = r.department"
+    ),
+    "x6_contact_before_award": (
+        f"WITH c AS MATERIALIZED (SELECT contact_id, {_PERSON} AS person, left(client_bn, 9) AS vendor, department, contacted_on FROM lobby_contacts) "
+        "SELECT a.award_id, left(a.vendor_bn, 9) AS vendor, a.department, CAST(a.awarded_on AS VARCHAR) AS awarded_on, CAST(a.amount AS DOUBLE) AS amount, c.contact_id, c.person, "
+        "CAST(c.contacted_on AS VARCHAR) AS contacted_on, date_diff('day', c.contacted_on, a.awarded_on) AS days FROM (SELECT *, row_number() OVER () AS rn FROM department_awards) a "
+        "JOIN c ON c.vendor = left(a.vendor_bn, 9) AND c.department = a.department AND c.contacted_on < a.awarded_on WHERE a.sole_source_reason IS NOT NULL "
+        "QUALIFY row_number() OVER (PARTITION BY a.rn ORDER BY c.contacted_on DESC, c.contact_id DESC) = 1"
+    ),
     "q01_golden_records": (
         "SELECT e.id AS entity_id, any_value(e.canonical_name) AS canonical_name, coalesce(any_value(e.entity_type), 'unknown') AS entity_type, "
         "any_value(e.bn_root) AS bn_root, any_value(e.bn_variants_csv) AS bn_variants, coalesce(any_value(e.aliases), '[]') AS aliases, "

@@ -42,6 +42,19 @@ TABLES: dict[str, str] = {
     "ab_grants": "id bigint, amount decimal(18,2), payment_date date",
     "ab_contracts": "id string, amount decimal(18,2)",
     "ab_sole_source": "id string, amount decimal(18,2), start_date date, vendor string",
+    "lobby_registrations": (
+        "registration_id string, first_name string, last_name string, client_bn string, "
+        "department string, filed_on date"
+    ),
+    "lobby_contacts": (
+        "contact_id string, first_name string, last_name string, client_bn string, "
+        "department string, contacted_on date"
+    ),
+    "former_offices": "first_name string, last_name string, department string, ended_on date",
+    "department_awards": (
+        "award_id string, vendor_bn string, department string, awarded_on date, "
+        "amount decimal(18,2), sole_source_reason string"
+    ),
 }
 
 # Columns a deployment may lack; operators look for them before using them.

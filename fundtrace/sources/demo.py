@@ -190,6 +190,26 @@ DERIVED: dict[str, str] = {
         "ELSE CAST(0.97 AS DOUBLE) END AS match_confidence "
         "FROM raw_links r JOIN entity_named n ON n.id = r.entity_id"
     ),
+    # Lobbyists, office holders and directors come from the same short lists of names.
+    "lobby_registrations": (
+        f"SELECT 'R' || CAST(k AS STRING) AS registration_id, {_DIRECTOR_NAME}, CAST(100000001 + o_custkey AS STRING) || 'RR0001' AS client_bn, "
+        "o_orderpriority AS department, CAST(o_orderdate AS DATE) AS filed_on FROM (SELECT *, o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 1) r"
+    ),
+    "lobby_contacts": (
+        f"SELECT 'C' || {_TEXT_KEY} AS contact_id, {_DIRECTOR_NAME}, CAST(200000001 + l_suppkey AS STRING) || 'RR0001' AS client_bn, "
+        "o_orderpriority AS department, CAST(l_shipdate AS DATE) AS contacted_on "
+        "FROM (SELECT *, l_orderkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 4 = 3) r"
+    ),
+    "former_offices": (
+        f"SELECT {_DIRECTOR_NAME}, o_orderpriority AS department, CAST(o_orderdate AS DATE) AS ended_on "
+        "FROM (SELECT *, o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 2) r"
+    ),
+    "department_awards": (
+        f"SELECT {_TEXT_KEY} AS award_id, CAST(200000001 + l_suppkey AS STRING) || 'RR0001' AS vendor_bn, o_orderpriority AS department, "
+        "CAST(l_shipdate AS DATE) AS awarded_on, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, "
+        "CASE WHEN l_linenumber % 3 = 0 THEN CAST(NULL AS STRING) ELSE 'exclusive rights' END AS sole_source_reason "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' AND l_orderkey % 4 <> 3"
+    ),
     # Pairs of neighbouring records under review, and two rounds of decisions on them.
     "review_candidates": (
         "SELECT 'c' || CAST(a.id AS STRING) AS candidate_id, a.id AS entity_id_l, b.id AS entity_id_r, "
