@@ -21,6 +21,32 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+# Long arrays are built in blocks of so many items, for appending copies what is there.
+BLOCK = 128
+
+
+def folded(items: Column, at: Column, kind: str, step, pack=None) -> Column:
+    """``aggregate`` that appends to an array: ``step(acc, item)`` over ``items`` with acc = struct<at, out>.
+
+    ``kind`` is the type of ``out``'s items. Blocks are folded one after the other, each beginning at the ``at`` the one
+    before ended with, so n items cost n * (BLOCK + n / BLOCK) copies instead of n * n. The result is struct<at, out>,
+    ``out`` with one entry a block: its array, or ``pack`` of it.
+    """
+    packed = kind if pack is joined else f"array<{kind}>"
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * BLOCK + 1, BLOCK))
+    begin = F.struct(at.alias("at"), F.array().cast(f"array<{packed}>").alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step)
+        return let(inner, lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(pack(one["out"]) if pack else one["out"])).alias("out")))
+
+    return F.aggregate(blocks, begin, block)
+
+
+def joined(out: Column) -> Column:
+    return F.array_join(out, "")
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>>, offsets in code points.
 
@@ -32,7 +58,6 @@ def occurrences(text: Column, pattern: str) -> Column:
 
     def placed(both: Column) -> Column:
         values, between = both["values"], both["gaps"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
         def step(acc: Column, one: Column) -> Column:
             begin = acc["at"] + one["gap"]
@@ -41,6 +66,6 @@ def occurrences(text: Column, pattern: str) -> Column:
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
         pairs = F.zip_with(values, F.slice(between, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.flatten(folded(pairs, F.lit(0), "struct<start:int,end:int,value:string>", step)["out"])
 
     return let(F.struct(found.alias("values"), gaps.alias("gaps")), placed)

@@ -1,17 +1,20 @@
 """Information-theoretic sanitisation of personal data, with built-in functions only.
 
-Patterns find the protected entities: emails, ip addresses, card and phone numbers. A term can give an entity
-away too. Over the whole corpus the documents are counted that hold a term and an entity (of the same value),
-that hold the entity, and that hold the term. Their pointwise mutual information, divided by the entity's own
-information, is the share of the entity that the term discloses: 1 if the term never stands without it. Few
-documents are weak evidence but not none: the share of a term's documents that hold the entity enters with a
-lower bound, ``UNSEEN`` documents more without it, so a rare entity is protected as well. Terms that disclose
-at least ``GENERALISE`` are generalised, from ``REMOVE`` on they are removed, wherever in a text they stand
-and, with ``everywhere``, in texts that do not hold the entity too. The patterns' own spans stay as they are,
-disclosing terms add spans of the kind ``term``.
-
-A term is a word without the punctuation at its edges and without regard to case; what a pattern's span covers
-is no part of a word.
+Patterns find the protected entities: emails, ip addresses, card and phone numbers. A term can give an entity away too.
+Over all distinct texts those are counted that hold a term, and those that hold the term and an entity: of the same
+value, of its group (the domain of an address, the first digits of a number) or of its kind, so a rare entity is protected
+by the evidence of its like. ``BOUND`` standard errors below the share of a term's texts that hold the entity is Wilson's
+lower bound: what is certain about the term. It leaves -log2(bound) bits of the entity's presence open. Terms that leave
+at most a bit (``GENERALISE``) are generalised, those that leave half a bit (``REMOVE``) removed, where they also tell at
+least ``GAIN`` bits, the pointwise mutual information, for what most texts hold needs no telling. One joint text proves
+nothing (a bound of 0.2), nor do two copies with small changes; four without an exception do. Neither copies of texts
+nor the size of the table move a verdict.
+
+Terms are treated wherever in a text they stand and, with ``everywhere``, in texts that do not hold the entity too. The
+patterns' own spans stay as they are, disclosing terms add spans of the kind ``term``. A term is a word without the
+punctuation at its edges and without regard to case; what a pattern's span covers is no part of a word.
+
+All steps work on distinct texts, known by 128 bits of hash, so results do not hang on how rows are numbered or read.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.native import SPACE, let, occurrences
+from fundtrace.llm.native import SPACE, folded, joined, let, occurrences
 from fundtrace.llm.store import documents, prepare, table
 
-UNSEEN = 1  # documents; n of n then count as n / (n + 1), Wilson's lower bound at one standard error
-GENERALISE = 0.8
-REMOVE = 0.95
-FREQUENT = 200  # terms in more than this part of the texts are sent to all tasks
+BOUND = 2.0
+GENERALISE = 0.5
+REMOVE = 0.7
+GAIN = 1.0
+# Texts with a term and an entity below which no bound reaches GENERALISE: n of n have the bound n / (n + BOUND ^ 2).
+EVIDENCE = 4
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the kinds, each run taken whole from where it begins: a match cannot begin inside a run
 # of the same characters unless the match before it ended there (\G), so long runs are read once.
@@ -44,7 +49,8 @@ _HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9][\x20().0-9-]"),
 }
 _SPANS = "array<struct<start:int,end:int,value:string>>"
-_FOUND = "array<struct<start:int,place:int,end:int,kind:string,value:string>>"
+_SPAN = "struct<start:int,place:int,end:int,kind:string,value:string>"
+_FOUND = f"array<{_SPAN}>"
 _EDGE = r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D]"
 # Runs of these at the beginning or end of a word.
 _EDGES = rf"(?<![^\x20\x09-\x0D]){_EDGE}++|(?<!{_EDGE}){_EDGE}++(?![^\x20\x09-\x0D])"
@@ -87,10 +93,17 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _entity(kind: Column, value: Column) -> Column:
-    """An entity is its kind and value; spelling of numbers and case do not matter."""
-    plain = F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value))
-    return F.xxhash64(kind, plain)
+def _classes(kind: Column, value: Column) -> Column:
+    """What an entity is one of: its value, its group and its kind. Spelling of numbers and case do not matter."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    plain = F.when(kind.isin("card", "phone"), digits).otherwise(F.lower(value))
+    group = (
+        F.when(kind == "email", F.substring_index(plain, "@", -1))
+        .when(kind == "ip", F.substring_index(plain, ".", 2))
+        .when(kind == "card", F.left(digits, F.lit(6)))
+        .otherwise(F.left(digits, F.lit(4)))
+    )
+    return F.array(F.xxhash64(F.lit("value"), kind, plain), F.xxhash64(F.lit("group"), kind, group), F.xxhash64(F.lit("kind"), kind))
 
 
 def _text() -> Column:
@@ -110,10 +123,10 @@ def _blanked(text: Column, spans: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         begin = F.greatest(acc["at"], s["start"])
         more = F.array(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), s["end"] - begin))
-        return F.when(s["end"] > acc["at"], F.struct(F.concat(acc["out"], more).alias("out"), s["end"].alias("at"))).otherwise(acc)
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], more).alias("out"))).otherwise(acc)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    built = folded(spans, F.lit(0), "string", step, joined)
+    return let(built, lambda all: F.concat(joined(all["out"]), F.substring(text, all["at"] + 1, F.length(text))))
 
 
 def _words(text: Column) -> Column:
@@ -122,64 +135,73 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(plain, _EDGES, ""), SPACE), lambda w: w != ""))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """(row, text_id, entity): the entities of each row, which ``row`` numbers; equal texts share ``text_id``."""
-    rows = docs.select("row", _text().alias("text")).filter(_hinted(F.col("text")))
-    rows = rows.select("row", F.xxhash64("text").alias("text_id"), F.explode(_ordered(list(base_spans(F.col("text")).items()))).alias("span"))
-    return rows.select("row", "text_id", _entity(F.col("span.kind"), F.col("span.value")).alias("entity")).distinct()
+def _key(text: Column) -> list[Column]:
+    """128 bits of a text's hash, by which equal texts are one."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
+
+
+KEY = ["k1", "k2"]
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Table (k1, k2, text) of the texts of ``docs``, each once."""
+    return table(docs.select(*_key(_text()), _text().alias("text")).dropDuplicates(KEY))
+
+
+def mentions(texts: DataFrame) -> DataFrame:
+    """(k1, k2, class): the classes of the entities in each text."""
+    rows = texts.filter(_hinted(F.col("text")))
+    rows = rows.select(*KEY, F.explode(_ordered(list(base_spans(F.col("text")).items()))).alias("span"))
+    return rows.select(*KEY, F.explode(_classes(F.col("span.kind"), F.col("span.value"))).alias("class")).distinct()
 
 
-def groups(near: DataFrame) -> DataFrame:
-    """(row, held, of_entity): entities that stand in the same texts are one group ``held``, for terms disclose them alike."""
-    texts = near.select("text_id", "entity").distinct()
-    of = texts.groupBy("entity").agg(F.count("*").alias("of_entity"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("texts"))
-    of = of.select("entity", F.xxhash64("of_entity", "texts").alias("held"), "of_entity")
-    return near.join(of, "entity").select("row", "held", "of_entity").distinct()
+def certain(both: Column, of_term: Column, bound: float = BOUND) -> Column:
+    """Wilson's lower bound of the share ``both`` / ``of_term``."""
+    n, z = of_term.cast("double"), F.lit(bound)
+    p = both / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def disclosures(docs: DataFrame, firsts: DataFrame, member: DataFrame, terms: DataFrame, frequent: DataFrame, total: int, least: float = GENERALISE) -> DataFrame:
-    """(held, term, disclosed): the share of a group's information that a term gives away, from ``least`` on.
+def disclosures(texts: DataFrame, held: DataFrame, total: int, least: float = GENERALISE, gain: float = GAIN) -> DataFrame:
+    """(class, term, disclosed): terms (as hashes) that are certain to ``least`` to stand with an entity of the class.
 
-    ``firsts`` has one row of each distinct text, ``total`` of them; ``terms`` (term, of_term) are counted over these. A term
-    that discloses that much stands in no more than of_entity * (total / of_entity) ^ (1 - least) texts, so
-    ``frequent`` terms beyond that go before they are dealt out.
+    ``held`` (k1, k2, class) tells the classes of the ``total`` texts. Only words of texts with an entity are candidates,
+    and only classes of ``EVIDENCE`` texts or more; the words of all other texts are merely counted, as hashes.
     """
-    held = member.join(firsts, "row", "left_semi").groupBy("row").agg(F.collect_list(F.struct("held", "of_entity")).alias("groups"))
-    used = docs.select("row", _text().alias("text")).join(held, "row")
-    used = used.select("groups", F.explode(_words(F.lower("text"))).alias("term"))
-    used = used.join(F.broadcast(frequent.withColumnRenamed("of_term", "often")), "term", "left").select("term", "often", F.explode("groups").alias("g"))
-    most = F.col("g.of_entity") * F.pow(F.lit(float(total)) / F.col("g.of_entity"), F.lit(1 - least)) * (1 + 1e-9)
-    used = used.filter(F.col("often").isNull() | (F.col("often") + UNSEEN <= most))
-    both = used.groupBy("g.held", "g.of_entity", "term").agg(F.count("*").alias("both")).join(terms, "term")
-    information = F.log2(F.lit(float(total)) / F.col("of_entity"))
-    shared = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_entity") * (F.col("of_term") + UNSEEN)))
-    disclosed = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    return both.select("held", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= least)
-
-
-def told_words(docs: DataFrame, everywhere: bool, least: float) -> DataFrame:
-    """(row, told): per row its disclosing words as they are written, array<struct<word, disclosed>>."""
-    texts = docs.select("row", _text().alias("text"))
-    none = texts.select("row", F.array().cast("array<struct<word:string,disclosed:double>>").alias("told")).limit(0)
-    near = table(mentions(docs))
-    if near.isEmpty():
-        return none
-    # Rows are told apart by number, so a text's copies do not meet in one task.
-    firsts = table(texts.groupBy(F.xxhash64("text").alias("text_id")).agg(F.min("row").alias("row")).select("row"))
-    total = firsts.count()
-    terms = texts.join(firsts, "row", "left_semi").select(F.explode(_words(F.lower("text"))).alias("term"))
-    terms = table(terms.groupBy("term").agg(F.count("*").alias("of_term")))
-    frequent = terms.filter(F.col("of_term") > total / FREQUENT)  # at most FREQUENT times the words of a mean text
-    member = table(groups(near))
-    known = table(disclosures(docs, firsts, member, terms, frequent, total, least))
-    rest = frequent.join(known, "term", "left_anti").select("term")
-    words = texts.select("row", F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
-    words = words.join(F.broadcast(rest), "term", "left_anti")
+    of_class = held.groupBy("class").agg(F.count(F.lit(1)).alias("of_class")).filter(F.col("of_class") >= EVIDENCE)
+    lists = held.join(of_class, "class").groupBy(*KEY).agg(F.collect_list(F.struct("class", "of_class")).alias("classes"))
+    used = texts.join(table(lists), KEY).select("classes", F.explode(_terms(F.col("text"))).alias("term"))
+    both = used.select("term", F.explode("classes").alias("c")).groupBy("term", "c.class", "c.of_class").agg(F.count(F.lit(1)).alias("both"))
+    both = table(both.filter(F.col("both") >= EVIDENCE))
+    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    # A term is certain only where most of its texts hold the class.
+    found = both.join(terms.filter(F.col("of_term") >= EVIDENCE), "term").filter(F.col("of_term") <= 2 * F.col("both") / least)
+    sure = certain(F.col("both"), F.col("of_term"))
+    told = F.log2(sure * F.lit(float(total)) / F.col("of_class"))
+    return found.select("class", "term", sure.alias("disclosed"), told.alias("told")).filter((F.col("disclosed") >= least - 1e-9) & (F.col("told") >= gain)).drop("told")
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(_words(F.lower(text)), lambda w: F.xxhash64(w)))
+
+
+def told_words(texts: DataFrame, everywhere: bool, least: float = GENERALISE) -> DataFrame:
+    """(k1, k2, told): per text its disclosing words as they are written, array<struct<word, disclosed>>."""
+    held = table(mentions(texts))
+    if held.isEmpty():
+        return texts.select(*KEY, F.array().cast("array<struct<word:string,disclosed:double>>").alias("told")).limit(0)
+    known = table(disclosures(texts, held, texts.count(), least))
     if everywhere:
-        told = words.join(known.groupBy("term").agg(F.max("disclosed").alias("disclosed")), "term")
+        best = known.groupBy("term").agg(F.max("disclosed").alias("disclosed"))
+        words = texts.select(*KEY, F.explode(_words(F.col("text"))).alias("word"))
+        told = words.withColumn("term", F.xxhash64(F.lower("word"))).join(table(best), "term")
     else:
-        told = words.join(known, "term").join(member, ["row", "held"], "left_semi").groupBy("row", "word").agg(F.max("disclosed").alias("disclosed"))
-    return told.groupBy("row").agg(F.collect_list(F.struct("word", "disclosed")).alias("told"))
+        some = texts.join(held.join(known.select("class").distinct(), "class", "left_semi").select(*KEY).distinct(), KEY)
+        words = some.select(*KEY, F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.xxhash64(F.lower("word")))
+        told = words.join(known, "term").join(held, [*KEY, "class"], "left_semi")
+    told = told.groupBy(*KEY, "word").agg(F.max("disclosed").alias("disclosed"))
+    return told.groupBy(*KEY).agg(F.collect_list(F.struct("word", "disclosed")).alias("told"))
 
 
 def _term_spans(text: Column, told: Column, remove: float) -> Column:
@@ -203,25 +225,27 @@ def _term_spans(text: Column, told: Column, remove: float) -> Column:
             )
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.flatten(folded(pairs, F.lit(0), _SPAN, step)["out"])
 
     return let(F.struct(before.alias("before"), found.alias("found"), gaps.alias("gaps")), placed)
 
 
 def found_spans(docs: DataFrame, everywhere: bool = False, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """Table (row, doc_id, base, terms) of every row of ``docs``, which needs a column ``row`` that numbers them.
+    """Table (k1, k2, base, terms) of the distinct texts of ``docs`` that have a span.
 
     ``base`` and ``terms`` are span arrays of struct<start, place, end, kind, value>; for terms ``value`` is
     ``removed`` or ``generalised``. With ``everywhere`` a disclosing term is one in every text, else in those
     that hold the entity.
     """
-    told = table(told_words(docs, everywhere, generalise))
-    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(told, "row", "left")
-    rows = rows.select("row", "doc_id", "text", "told", _ordered(list(base_spans(F.col("text")).items())).alias("base"))
-    terms = F.when(F.col("told").isNotNull(), _term_spans(F.col("plain"), F.col("told"), remove)).otherwise(F.array().cast(_FOUND))
-    rows = rows.select("row", "doc_id", "told", "base", F.when(F.col("told").isNotNull(), _blanked(F.col("text"), F.col("base"))).alias("plain"))
-    return rows.select("row", "doc_id", "base", terms.alias("terms"))
+    texts = distinct_texts(docs)
+    told = table(told_words(texts, everywhere, generalise))
+    own = texts.filter(_hinted(F.col("text"))).select(*KEY, _ordered(list(base_spans(F.col("text")).items())).alias("base")).filter(F.size("base") > 0)
+    rows = texts.join(told.filter(F.size("told") > 0), KEY)
+    rows = rows.select(*KEY, "told", F.when(_hinted(F.col("text")), _blanked(F.col("text"), _ordered(list(base_spans(F.col("text")).items())))).otherwise(F.col("text")).alias("plain"))
+    terms = rows.select(*KEY, _term_spans(F.col("plain"), F.col("told"), remove).alias("terms"))
+    none = F.array().cast(_FOUND)
+    found = table(own).join(table(terms), KEY, "full")
+    return table(found.select(*KEY, F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms")))
 
 
 def detect(docs: DataFrame, everywhere: bool = False) -> DataFrame:
@@ -231,10 +255,12 @@ def detect(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     table gives no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    found = found_spans(rows, everywhere)
+    found = found_spans(docs, everywhere)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(_text())).join(found, KEY, "left")
+    none = F.array().cast(_FOUND)
+    rows = rows.select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("base", "terms")])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(
+    return rows.select(
         "doc_id", *(count(k) for k in KINDS), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
         _text_of(F.sort_array(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_term"),
     )
@@ -247,23 +273,22 @@ def sanitise(docs: DataFrame, text: str = "text", everywhere: bool = False) -> D
     """
     prepare(docs.sparkSession)
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), F.col("doc_id").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    packed = table(packed.withColumn("row", F.monotonically_increasing_id()))
-    found = found_spans(packed.select("row", "doc_id", "text"), everywhere)
-    spans = found.select("row", F.sort_array(F.concat("base", "terms")).alias("spans")).filter(F.size("spans") > 0)
-    joined = packed.join(table(spans), "row", "left")
+    found = found_spans(docs.select(F.col(f"`{text}`").alias("text")), everywhere)
+    spans = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.sort_array(F.concat("base", "terms")).alias("spans"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), F.col(f"`{text}`").cast("string").alias("text"))
+    whole = whole.select("whole", "text", *_key(_text()))
+    rows = whole.join(spans, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         mark = F.when(s["value"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
         return F.when(
-            s["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.array(gap, mark)).alias("out"), s["end"].alias("at"))
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+            s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))
+        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    pieces = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
+    pieces = let(folded(F.col("spans"), F.lit(0), "string", step, joined), lambda all: F.concat(joined(all["out"]), F.substring("text", all["at"] + 1, F.length("text"))))
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pieces)
-    return joined.select(*(clean.alias(c) if c == text else F.col(f"whole.`{c}`").alias(c) for c in names))
+    return rows.select(*(clean.alias(c) if c == text else F.col(f"whole.`{c}`").alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
