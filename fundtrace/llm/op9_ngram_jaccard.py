@@ -18,12 +18,13 @@ Classes that share a signature are verified in steps. First each with at most tw
 signatures' most central classes, which is linear even where thousands of near copies share one; what is linked
 becomes a component. A link inside a component adds nothing to the result. Between different components:
 
-* Each class has a hub, the most central class of its signatures, and is compared with it. Two classes of one hub share
+* Each class has a hub, the most central class of its signatures; where a hub has many (``CROWD``) they are compared
+  with it. Two classes of one hub share
   at most as much as the lesser of their overlaps with the hub, and besides only tokens that the hub lacks. So either
   their sizes are small enough for those overlaps, which a join on ranges of sizes finds, or they share a token that both
   have added to the hub's, which a join on (a prefix of) the added tokens finds. Near copies of one text have little in
   common but that text, so neither join grows with the square of their number.
-* Classes of different hubs meet by their signatures; a bound on the overlap from sizes and shared signatures comes
+* Other classes meet by their signatures; a bound on the overlap from sizes and shared signatures comes
   first.
 
 What is left is compared as whole sets. No link is lost: each step leaves out only pairs that cannot reach the similarity.
@@ -47,6 +48,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT = 20
 GROUPS = 256
+CROWD = 64  # classes of a hub beyond which they meet by sizes and added tokens instead of signatures
 STARS = 2  # linear rounds before all pairs of different components are compared
 _U = np.uint64
 _PAIR, _SMALL = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -250,11 +252,14 @@ def _measured(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: in
     """``members`` (node, component, hub) with the set's size ``n``, its overlap ``o`` with the hub's and the tokens ``added`` to it."""
     members = table(members)
     ends = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
-    sets = table(whole_sets(docs, table(ends.join(nodes, "node").select("node", "key", "digest")), shingle))
+    wanted = table(ends.join(nodes, "node").select("node", "key", "digest"))
+    sets = table(whole_sets(docs, wanted, shingle))
     hub = sets.select(F.col("node").alias("hub"), F.col("own").alias("of_hub"))
     added = F.array_except("own", "of_hub")
     both = members.join(sets, "node").join(hub, "hub").withColumn("added", added)
-    return both.select("node", "component", "hub", "n", (F.col("n") - F.size("added")).alias("o"), "added")
+    measured = table(both.select("node", "component", "hub", "n", (F.col("n") - F.size("added")).alias("o"), "added"))
+    drop(members, wanted, sets)
+    return measured
 
 
 def _probes(members: DataFrame, key: str) -> DataFrame:
@@ -376,18 +381,21 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, frequent: int = F
 
     placed = _placed(entries, joined)
     drop(entries)
-    measured = table(_measured(docs, nodes, placed.select("node", "component").distinct().join(hubs, "node"), shingle))
+    members = table(placed.select("node", "component").distinct().join(hubs, "node"))
+    crowded = table(members.groupBy("hub").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") > CROWD).select("hub"))
+    members = members.join(crowded.filter("hub is not null"), "hub")
+    measured = _measured(docs, nodes, members, shingle)
     # Of each hub's and signature's classes, those of its largest component need not meet each other.
-    of_hub = _probes(measured.select("hub", "node", "component", "n", "o", "added"), "hub")
+    of_hub = _probes(measured, "hub")
     pairs = _by_size(of_hub, measured).unionByName(_by_added(of_hub, measured)).distinct()
-    ends = placed.join(measured.select("node", "hub", "n"), "node")
+    ends = placed.join(facts.select("node", "n"), "node").join(measured.select("node", "hub"), "node", "left")
     probes = _probes(ends.select("mark", "node", "component", "hub", "n", "one"), "mark")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.hub") != F.col("y.hub")) & _similar("x.n", "y.n", F.least("x.n", "y.n"))
+    apart = (F.col("x.component") != F.col("y.component")) & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False)) & _similar("x.n", "y.n", F.least("x.n", "y.n"))
     across = probes.alias("x").join(ends.alias("y"), (F.col("x.mark") == F.col("y.mark")) & apart)
     across = across.select("x.mark", F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), "x.one", F.lit(0).alias("shares")).distinct()
     other = _possible(_shared(across.drop("mark")), facts).select("a", "b")
     more = _verified(docs, nodes, pairs.unionByName(other), shingle)
-    drop(placed, hubs, measured, facts)
+    drop(placed, hubs, crowded, measured, facts)
     return rows, nodes, links.unionByName(more), joined, more
 
 
