@@ -1,7 +1,10 @@
 """A linear-chain conditional random field with two states, for many chains at once.
 
-Chains lie one after the other in flat arrays. Both passes of the forward-backward algorithm work on the
-log odds of state 1 and take one step for all chains that are long enough, so numpy does the work.
+Chains lie one after the other in flat arrays. Both passes of the forward-backward algorithm work on the log odds of
+state 1 and take one step for all chains that are long enough, so numpy does the work. A chain longer than a block is cut
+into blocks that go side by side: a block's effect on any message that enters it is a product of 2x2 matrices, which is
+built first, passed along the chain from block to block, and tells each block what it begins and ends with. So the
+marginals are those of the whole chain, whatever its length.
 """
 
 from __future__ import annotations
@@ -10,34 +13,77 @@ import numpy as np
 
 
 class Chains:
-    """Chains of the given lengths; empty chains are not allowed."""
+    """Chains of the given lengths, in blocks of at most ``block`` positions; empty chains are not allowed."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, block: int = 256):
         lengths = np.asarray(lengths, np.int64)
         self.begin = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
-        self.order = np.argsort(-lengths, kind="stable")
-        self.sizes = lengths[self.order]
+        parts = (lengths + block - 1) // block
+        # Place of each block in its chain, and how long it is.
+        self.place = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        sizes = np.minimum(np.repeat(lengths, parts) - self.place * block, block)
+        self.first = np.repeat(self.begin, parts) + self.place * block
+        self.last = self.first + sizes - 1
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
         self.size = int(lengths.sum())
 
     def steps(self):
-        """Per step the positions of all chains that reach it."""
-        begins = self.begin[self.order]
+        """Per step the positions of all blocks that reach it."""
+        begins = self.first[self.order]
         for t in range(int(self.sizes[0]) if len(self.sizes) else 0):
             live = int(np.searchsorted(-self.sizes, -t))
             yield begins[:live] + t
 
+    def later(self):
+        """Blocks by their place in the chain, from the second on."""
+        order = np.argsort(self.place, kind="stable")
+        ends = np.searchsorted(self.place[order], np.arange(1, int(self.place.max(initial=0)) + 2))
+        return [order[a:b] for a, b in zip(ends, ends[1:])]
+
 
 def _log_ratio(a, x, b, c, d):
     """log((e^(a + x) + e^b) / (e^(c + x) + e^d))."""
     return np.logaddexp(a + x, b) - np.logaddexp(c + x, d)
 
 
+def _products(scores: np.ndarray, chains: Chains, moves: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Per block the logarithms of its matrix from the state before it to the state at its end: [to, from, block]."""
+    blocks = len(chains.first)
+    out = np.zeros((2, 2, blocks))
+    out[0, 1], out[1, 0] = -np.inf, -np.inf
+    for at in steps:
+        live = chains.order[: len(at)]
+        zero, one = out[0][:, live], out[1][:, live]
+        out[0][:, live] = np.logaddexp(zero + moves[0, 0], one + moves[1, 0])
+        out[1][:, live] = np.logaddexp(zero + moves[0, 1], one + moves[1, 1]) + scores[at]
+    return out
+
+
 def messages(scores: np.ndarray, chains: Chains, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward log odds; ``moves[i, j]`` is the score of going from state i to j."""
     forward, backward = np.array(scores), np.zeros_like(scores)
     steps = list(chains.steps())
+    later = chains.later()
+    ahead = lambda f: _log_ratio(moves[1, 1], f, moves[0, 1], moves[1, 0], moves[0, 0])
+    if later:
+        product = _products(scores, chains, moves, steps)
+        # First blocks end as they do alone: nothing enters them but the first score.
+        begins = np.flatnonzero(chains.place == 0)
+        alone = np.array(scores)
+        for at in steps[1:]:
+            alone[at] += ahead(alone[at - 1])
+        end = np.zeros(len(chains.first))
+        end[begins] = alone[chains.last[begins]]
+        for blocks in later:
+            into = end[blocks - 1]
+            forward[chains.first[blocks]] += ahead(into)
+            end[blocks] = _log_ratio(product[1, 1, blocks], into, product[1, 0, blocks], product[0, 1, blocks], product[0, 0, blocks])
+        for blocks in reversed(later):
+            into = backward[chains.last[blocks]]
+            backward[chains.last[blocks - 1]] = _log_ratio(product[1, 1, blocks], into, product[0, 1, blocks], product[1, 0, blocks], product[0, 0, blocks])
     for at in steps[1:]:
-        forward[at] += _log_ratio(moves[1, 1], forward[at - 1], moves[0, 1], moves[1, 0], moves[0, 0])
+        forward[at] += ahead(forward[at - 1])
     for at in reversed(steps[1:]):
         backward[at - 1] = _log_ratio(moves[1, 1], scores[at] + backward[at], moves[1, 0], moves[0, 1], moves[0, 0])
     return forward, backward

@@ -3,8 +3,8 @@
 A line's features are shares of character kinds, word lengths, repeats of words and of lines, and the same
 numbers of the lines before and after it. Lines inherit their document's label for training. The marginals
 of forward-backward, weighted by the lines' lengths, give a document's share of good text; a logistic
-function of that share, of its worst stretch and of the amount of text is the score. A document of more than
-``CHAIN`` lines is several chains.
+function of that share, of its worst stretch and of the amount of text is the score. A document is one chain,
+however many lines it has.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from fundtrace.llm.samples import labelled_sample
 from fundtrace.llm.store import documents, fold, prepare
 
 PER_CLASS = 1500  # labelled documents of each class the model is fitted on, at most
-CHAIN = 512
+BLOCK = 512  # lines of a chain that go one after the other
 ROUNDS = 60
 _LOWER_CASE = words.separators(bytes(range(ord("a"), ord("z") + 1)) + bytes(range(128, 256)))
 _KINDS = [
@@ -79,11 +79,7 @@ class Lines:
         after[:-1][same_after[:-1]] = features[1:][same_after[:-1]]
         self.features = np.hstack([features, before, after, same_before[:, None], same_after[:, None], np.ones((n, 1))]).astype(np.float32)
         lengths = np.bincount(self.row, minlength=self.rows)
-        parts = (lengths + CHAIN - 1) // CHAIN
-        cut = np.full(int(parts.sum()), CHAIN, np.int64)
-        full = parts > 0
-        cut[np.cumsum(parts[full]) - 1] = lengths[full] - (parts[full] - 1) * CHAIN
-        self.chains = crf.Chains(cut)
+        self.chains = crf.Chains(lengths[lengths > 0], BLOCK)
 
     @staticmethod
     def _distinct(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:

@@ -3,8 +3,7 @@
 Token labels come from document labels: among words and word beginnings, those that are far more frequent in
 toxic than in other labelled documents are chosen greedily until toxic documents are covered several times; a
 word of a toxic document that has one of them is a toxic token. The CRF learns from these tokens with hashed
-features (the word, its first bytes). A chain is a line of words, lines of more than ``CHAIN`` words are
-several chains. A document's score is a logistic function of its largest marginal and of the sum of those
+features (the word, its first bytes). A chain is a line of words, however long. A document's score is a logistic function of its largest marginal and of the sum of those
 over a quarter, so that many harmless words do not add up.
 """
 
@@ -24,7 +23,7 @@ PER_CLASS = 1500  # labelled documents of each class the model is fitted on, at
 REJECT = 0.7
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 BUCKETS = 1 << 18
-CHAIN = 256
+BLOCK = 256  # words of a chain that go one after the other
 ROUNDS = 25
 COVER = 4  # chosen features a toxic document should have
 ODDS = 20.0  # how much more frequent a chosen feature is in toxic documents
@@ -46,13 +45,7 @@ class Tokens:
         lines = np.searchsorted(np.flatnonzero(found.data == 10), found.begin)
         new[1:count] |= lines[1:] != lines[:-1]
         starts = np.flatnonzero(new)
-        sizes = np.diff(starts)
-        # Cut long lines: one chain every CHAIN words.
-        parts = (sizes + CHAIN - 1) // CHAIN
-        lengths = np.full(int(parts.sum()), CHAIN, np.int64)
-        if len(parts):
-            lengths[np.cumsum(parts) - 1] = sizes - (parts - 1) * CHAIN
-        self.chains = crf.Chains(lengths)
+        self.chains = crf.Chains(np.diff(starts), BLOCK)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.begin), np.float32)
@@ -182,8 +175,9 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = fit(docs, training_rows(spark, sf_dir))
-    return score(docs, model).select(
-        "doc_id", (F.coalesce(fold("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted")
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return score(docs, model, spans=True).select(
+        "doc_id", (F.coalesce(fold("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), offsets.alias("offsets")
     )
 
 

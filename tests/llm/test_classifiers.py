@@ -86,11 +86,37 @@ def test_without_labels_scores_are_constant(awkward, toxic, op):
     assert len({r.score for r in op.score(awkward, model).collect()}) == 1
 
 
-def test_long_lines_are_several_chains(spark):
+@pytest.mark.parametrize("block", [1, 7, 256, 10_000])
+def test_long_chains_are_whole(block):
+    """Marginals of chains of up to 5,000 places equal the plain recursion over each whole chain."""
+    rng = np.random.default_rng(5)
+    moves = np.array([[1.5, -1.5], [-1.5, 1.5]]) + rng.normal(size=(2, 2)) * 0.1
+    lengths = [5000, 1, 300, 256, 257, 513, 2]
+    scores = rng.normal(size=sum(lengths)) * 0.5
+    got = crf.marginals(scores, crf.Chains(lengths, block), moves)
+    at = 0
+    for n in lengths:
+        own = scores[at : at + n]
+        alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+        alpha[0] = [0, own[0]]
+        for t in range(1, n):
+            alpha[t] = np.logaddexp(alpha[t - 1, 0] + moves[0], alpha[t - 1, 1] + moves[1]) + [0, own[t]]
+            alpha[t] -= alpha[t].max()
+        for t in range(n - 2, -1, -1):
+            step = beta[t + 1] + [0, own[t + 1]]
+            beta[t] = np.logaddexp(moves[:, 0] + step[0], moves[:, 1] + step[1])
+            beta[t] -= beta[t].max()
+        both = alpha + beta
+        assert np.allclose(got[at : at + n], 1 / (1 + np.exp(both[:, 0] - both[:, 1])))
+        at += n
+
+
+def test_long_lines_go_in_blocks(spark):
     import pyarrow as pa
 
     tokens = op7_toxicity_crf.Tokens(pa.array(["a " * 600 + "\nb c", "", None, "d"]))
     assert sorted(tokens.chains.sizes.tolist(), reverse=True) == [256, 256, 88, 2, 1]
+    assert len(tokens.chains.begin) == 3
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +200,13 @@ def test_every_language_is_learned(spark):
     assert len(codes) > 64 and sorted(c for f in model["within"].values() for c in f[0]) == sorted(codes)
     got = {r.doc_id: r.lang_pred for r in op10_language_svm.predict(docs, model).collect()}
     assert got == {i: c for i, _, c in rows}
+
+
+def test_query_tells_toxic_offsets(spark):
+    rows = op7_toxicity_crf.query(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = rows.join(docs, "doc_id").filter("offsets <> ''").collect()
+    assert found
+    for r in found:
+        spans = [tuple(map(int, s.split(":"))) for s in r.offsets.split(",")]
+        assert spans == sorted(spans) and all(0 <= a < b <= len(r.text) for a, b in spans)
