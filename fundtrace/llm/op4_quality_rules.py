@@ -1,17 +1,20 @@
 """Quality rules whose cutoffs are chosen with a guarantee on false rejection.
 
 Each rule compares one measure of a text with a cutoff. Documents labelled good in the holdout tell how many good ones
-a cutoff would reject. A cutoff is allowed where the exact binomial bound shows, at the wanted confidence, that
-at most a stated share of the good documents of its stratum is rejected. Per stratum and rule cutoffs are tested
-from the mildest on and testing stops at the first that fails (fixed-sequence testing), so the order needs no
-correction; over rules and strata the error rate is divided (Bonferroni), and so is the allowed share over the
-rules of a stratum. A stratum without enough labelled good documents gets no cutoffs and loses nothing.
+the rules would reject. A vector of cutoffs, one a rule, is allowed where the exact binomial bound shows, at the wanted
+confidence, that at most a stated share of the good documents of its stratum is rejected by any of its rules. Per stratum
+one sequence of vectors, fixed beforehand, is tested from the mildest on and testing stops at the first that fails
+(fixed-sequence testing), so neither steps nor rules need a correction; over strata the error rate is divided
+(Bonferroni). With four strata 217 good documents of which none is rejected are enough. A stratum without enough gets
+no cutoffs and loses nothing.
 
 Everything is built-in functions: no shuffle touches a text, the shuffles hold counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,26 +123,33 @@ def most_rejections(n: Column, share: float, error: Column) -> Column:
     return F.when(n > 0, F.aggregate(steps, begin, step, lambda acc: acc["k"])).otherwise(F.lit(-1).cast("long"))
 
 
+def sequence_of_cutoffs() -> list[dict[str, float]]:
+    """The vectors in the order they are tested: each rule goes through all its cutoffs, mildest first, at an even pace."""
+    rules = _rules()
+    steps = max(len(cuts) for _, cuts in rules.values())
+    return [{name: cuts[step * len(cuts) // steps] for name, (_, cuts) in rules.items()} for step in range(steps)]
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, false_rejection: float = FALSE_REJECTION, error_rate: float = ERROR_RATE) -> DataFrame:
-    """(stratum, cut_<rule>...): the strictest allowed cutoff of each rule, null where none is.
+    """(stratum, n, cut_<rule>...): the strictest allowed vector of cutoffs, nulls where none is.
 
-    ``measured`` holds the measures of all documents; those labelled 1 that pass the base rules are the good ones.
+    ``measured`` holds the measures of all documents; those labelled 1 that pass the base rules are the ``n`` good ones.
     """
-    rules = _rules()
+    rules, vectors = _rules(), sequence_of_cutoffs()
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = measured.join(good, "doc_id", "left_semi").filter(~F.col("base_failed"))
-    counts = [F.count(F.lit(1)).alias("n")]
-    for name, (measure, cuts) in rules.items():
-        counts.append(F.array(*(F.sum((measure > c).cast("long")) for c in cuts)).alias(f"rejected_{name}"))
+
+    def rejected(vector: dict[str, float]) -> Column:
+        return reduce(lambda a, b: a | b, [rules[name][0] > cut for name, cut in vector.items()]).cast("long")
+
+    counts = [F.count(F.lit(1)).alias("n"), F.array(*(F.sum(rejected(v)) for v in vectors)).alias("rejected")]
     strata = table(held.groupBy(F.col(stratum).alias("stratum")).agg(*counts))
-    tests = strata.withColumn("error", F.lit(error_rate) / (len(rules) * F.count(F.lit(1)).over(Window.partitionBy())))
-    tests = tests.withColumn("most", most_rejections(F.col("n"), false_rejection / len(rules), F.col("error")))
-    chosen = []
-    for name, (_, cuts) in rules.items():
-        fails = F.array_position(F.transform(f"rejected_{name}", lambda k: k > F.col("most")), True)
-        last = F.when(fails == 0, len(cuts)).otherwise(fails - 1).cast("int")
-        chosen.append(F.get(F.array(*map(F.lit, cuts)), last - 1).alias(f"cut_{name}"))
-    return tests.select("stratum", *chosen)
+    tests = strata.withColumn("error", F.lit(error_rate) / F.count(F.lit(1)).over(Window.partitionBy()))
+    tests = tests.withColumn("most", most_rejections(F.col("n"), false_rejection, F.col("error")))
+    fails = F.array_position(F.transform("rejected", lambda k: k > F.col("most")), True)
+    last = F.when(fails == 0, len(vectors)).otherwise(fails - 1).cast("int")
+    chosen = [F.get(F.array(*(F.lit(v[name]) for v in vectors)), last - 1).alias(f"cut_{name}") for name in rules]
+    return tests.select("stratum", "n", *chosen)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejection: float = FALSE_REJECTION, error_rate: float = ERROR_RATE) -> DataFrame:
@@ -157,7 +167,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejec
     for name, (measure, _) in _rules().items():
         passes = passes & F.coalesce(measure <= F.col(f"cut_{name}"), F.lit(True))
     # A row per stratum, from a table whose size Spark knows.
-    judged = measured.join(chosen, measured["stratum_"] == chosen["stratum"], "left")
+    judged = measured.join(chosen.drop("n"), F.col("stratum_") == F.col("stratum"), "left")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passes).alias("kept")
     )

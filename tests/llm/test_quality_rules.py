@@ -72,6 +72,53 @@ def test_cutoffs_hold_per_stratum(labelled):
     assert shares["b", True] == 1
 
 
+def plain_cutoffs(rows, labels, share, error):
+    """{stratum: vector} by testing one vector after the other in Python."""
+    good = {i for i, q in labels if i is not None and q == 1}
+    held = [r for r in rows if r["doc_id"] in good and not r["base_failed"]]
+    strata = {r["lang"] for r in held}
+    out = {}
+    for stratum in strata:
+        own = [r for r in held if r["lang"] == stratum]
+        value = {
+            "symbols": lambda r: r["n_symbols"] / max(r["word_chars"], 1), "duplicate_lines": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1),
+            "repeated_words": lambda r: r["n_repeat_words"] / max(r["n_words"], 1), "long_words": lambda r: r["word_chars"] / max(r["n_words"], 1),
+        }
+        chosen = None
+        for vector in op.sequence_of_cutoffs():
+            k = sum(any(value[name](r) > cut for name, cut in vector.items()) for r in own)
+            n = len(own)
+            at_most_k = sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(share) + (n - i) * log(1 - share)) for i in range(k + 1))
+            if at_most_k > error / len(strata):
+                break
+            chosen = vector
+        out[stratum] = chosen
+    return out
+
+
+@pytest.mark.parametrize("share, error", [(0.02, 0.05), (0.1, 0.05), (0.4, 0.01)])
+def test_cutoffs_match_plain_testing(labelled, share, error):
+    docs, labels = labelled
+    measured = op.measures(docs, ("lang",)).withColumn("base_failed", op.base_failed())
+    found = {r.stratum: r for r in op.cutoffs(measured, labels, "lang", share, error).collect()}
+    want = plain_cutoffs([r.asDict() for r in measured.collect()], [(r.doc_id, r.quality) for r in labels.collect()], share, error)
+    assert set(found) == set(want) == {"a", "b"}
+    for stratum, vector in want.items():
+        assert {name: found[stratum][f"cut_{name}"] for name in op._rules()} == (vector or dict.fromkeys(op._rules()))
+    assert want["a"] is not None
+
+
+@pytest.mark.parametrize("count, allowed", [(148, False), (149, True)])
+def test_good_labels_that_suffice(spark, count, allowed):
+    """One stratum, nothing rejected: 0.98 ^ n must not exceed 0.05."""
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} end{i}", "a") for i in range(count)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    measured = op.measures(docs, ("lang",)).withColumn("base_failed", op.base_failed())
+    (row,) = op.cutoffs(measured, labels, "lang").collect()
+    assert row.n == count and (row.cut_symbols is not None) == allowed
+
+
 def test_without_labels_only_the_base_rules_reject(labelled):
     docs, labels = labelled
     got = op.judge(docs, labels.limit(0))
