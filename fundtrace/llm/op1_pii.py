@@ -2,8 +2,8 @@
 
 Patterns find the protected entities: emails, ip addresses, card and phone numbers. A term can give an entity away too.
 Over all distinct texts those are counted that hold a term, and those that hold the term and an entity: of the same
-value, of its group (the domain of an address, the first digits of a number) or of its kind, so a rare entity is protected
-by the evidence of its like. ``BOUND`` standard errors below the share of a term's texts that hold the entity is Wilson's
+value, of its group (the domain of an address, the first digits of a number), of its kind or of any kind, so a rare
+entity is protected by the evidence of its like. ``BOUND`` standard errors below the share of a term's texts that hold the entity is Wilson's
 lower bound: what is certain about the term. It leaves -log2(bound) bits of the entity's presence open. Terms that leave
 at most a bit (``GENERALISE``) are generalised, those that leave half a bit (``REMOVE``) removed, where they also tell at
 least ``GAIN`` bits, the pointwise mutual information, for what most texts hold needs no telling. One joint text proves
@@ -94,7 +94,7 @@ def _text_of(spans: Column) -> Column:
 
 
 def _classes(kind: Column, value: Column) -> Column:
-    """What an entity is one of: its value, its group and its kind. Spelling of numbers and case do not matter."""
+    """What an entity is one of: its value, its group, its kind and all entities. Spelling of numbers and case do not matter."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     plain = F.when(kind.isin("card", "phone"), digits).otherwise(F.lower(value))
     group = (
@@ -103,7 +103,7 @@ def _classes(kind: Column, value: Column) -> Column:
         .when(kind == "card", F.left(digits, F.lit(6)))
         .otherwise(F.left(digits, F.lit(4)))
     )
-    return F.array(F.xxhash64(F.lit("value"), kind, plain), F.xxhash64(F.lit("group"), kind, group), F.xxhash64(F.lit("kind"), kind))
+    return F.array(F.xxhash64(F.lit("value"), kind, plain), F.xxhash64(F.lit("group"), kind, group), F.xxhash64(F.lit("kind"), kind), F.xxhash64(F.lit("any")))
 
 
 def _text() -> Column:

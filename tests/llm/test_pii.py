@@ -102,7 +102,7 @@ def classes_of(kind, value):
     digits = re.sub("[^0-9]", "", value)
     plain = digits if kind in ("card", "phone") else value.lower()
     group = {"email": plain.split("@")[-1], "ip": ".".join(plain.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
-    return {("value", kind, plain), ("group", kind, group), ("kind", kind)}
+    return {("value", kind, plain), ("group", kind, group), ("kind", kind), ("any",)}
 
 
 def plain_terms(texts, everywhere):
