@@ -245,3 +245,12 @@ def test_shared_director_needs_all_members(spark, wh):
         "ring_id string, entity_id bigint",
     )
     assert rows(directors.shared_by_all(wh, members)) == [("r1", NAME)]
+
+
+def test_gifts_inside_rings_beyond_the_limit(wh):
+    """``gift_limit`` cuts the gifts that are evidence; None takes every gift inside a ring."""
+    found = rings.find_related_party_rings(wh)
+    gifts = rings.ring_funding_edges(wh, rings.ring_members(found), None)
+    every = rings.edges_inside(found, gifts).count()
+    size = {limit: sum(len(r["funding_edges"] or ()) for r in rings.top_rings(wh, rings=found, gift_limit=limit).collect()) for limit in (None, 1)}
+    assert every > 1 and size[None] == every and size[1] == 1
