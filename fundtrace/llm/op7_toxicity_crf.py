@@ -23,6 +23,7 @@ PER_CLASS = 1500  # labelled documents of each class the model is fitted on, at
 REJECT = 0.7
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 BUCKETS = 1 << 18
+PART = 1 << 20  # bytes of text that are scored at once
 BLOCK = 256  # words of a chain that go one after the other
 ROUNDS = 25
 COVER = 4  # chosen features a toxic document should have
@@ -121,6 +122,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     return {"weights": weights, "moves": moves, "document": crf.logistic(found, y, weight)}
 
 
+def _parts(column: pa.Array):
+    """The column in parts of about ``PART`` bytes, a longer text alone, so memory does not grow with the batch."""
+    offsets = words.buffers(column)[1]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PART, "right")) - 1)
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
 def _model(spark: SparkSession, model: dict):
     return spark.sparkContext.broadcast(model)
 
@@ -135,15 +146,17 @@ def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            model = sent.value
-            tokens = Tokens(batch.column(1))
-            p = crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"])
-            found = tokens.document_features(p)
-            result = crf.sigmoid(found @ model["document"][:-1] + model["document"][-1])
-            columns = [batch.column(0), pa.array(result)]
-            if spans:
-                columns.append(pa.array(_spans(tokens, p), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "spans"][: len(columns)])
+            model, begin = sent.value, 0
+            for part in _parts(batch.column(1)):
+                tokens = Tokens(part)
+                p = crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"])
+                found = tokens.document_features(p)
+                result = crf.sigmoid(found @ model["document"][:-1] + model["document"][-1])
+                columns = [batch.column(0).slice(begin, len(part)), pa.array(result)]
+                if spans:
+                    columns.append(pa.array(_spans(tokens, p), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                begin += len(part)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "spans"][: len(columns)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")))
     return texts.mapInArrow(scan, "doc_id long, score double" + ", spans array<struct<start:long,end:long>>" * spans)
@@ -193,9 +206,11 @@ def keep_below(docs: DataFrame, model: dict, limit: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        model = sent.value
-        tokens = Tokens(pa.array(texts, pa.string()))
-        found = tokens.document_features(crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"]))
-        return pd.Series(crf.sigmoid(found @ model["document"][:-1] + model["document"][-1]))
+        model, scores = sent.value, [np.zeros(0)]
+        for part in _parts(pa.array(texts, pa.string())):
+            tokens = Tokens(part)
+            found = tokens.document_features(crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"]))
+            scores.append(crf.sigmoid(found @ model["document"][:-1] + model["document"][-1]))
+        return pd.Series(np.concatenate(scores))
 
     return docs.filter(scored(F.lower(F.col("text").cast("string"))) < limit)

@@ -210,3 +210,20 @@ def test_query_tells_toxic_offsets(spark):
     for r in found:
         spans = [tuple(map(int, s.split(":"))) for s in r.offsets.split(",")]
         assert spans == sorted(spans) and all(0 <= a < b <= len(r.text) for a, b in spans)
+
+
+def test_parts_change_no_score(toxic, awkward, monkeypatch):
+    """Scores agree to rounding (sums begin at other rows), spans and decisions exactly."""
+    model = op7_toxicity_crf.fit(*toxic)
+    docs = toxic[0].select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+
+    def scored():
+        rows = sorted(op7_toxicity_crf.score(docs, model, True).collect(), key=lambda r: (repr(r.doc_id), repr(r.spans), r.score))
+        kept = op7_toxicity_crf.keep_below(toxic[0], model, 0.5).select("doc_id").collect()
+        return [(r.doc_id, r.spans) for r in rows], [r.score for r in rows], sorted(r.doc_id for r in kept)
+
+    whole = scored()
+    monkeypatch.setattr(op7_toxicity_crf, "PART", 100)
+    parts = scored()
+    assert parts[0] == whole[0] and parts[2] == whole[2]
+    assert np.allclose(parts[1], whole[1], rtol=1e-9, atol=1e-12)
