@@ -65,3 +65,14 @@ def test_missing_names_stay_unknown(spark):
     got = rows.select(similarity.jaro_winkler(F.col("a"), F.col("b")).alias("s"), similarity.name_level(F.col("a"), F.col("b")).alias("n")).collect()
     assert [r.s for r in got] == [1.0, None, None, 0.0, similarity.jaro_winkler_pair("abcd", "abdc")]
     assert [r.n for r in got] == [3, -1, -1, 0, 2]
+
+
+def test_predictions_form_pairs_without_shuffling_them(spark):
+    _, rows = _rows(spark)
+    model = linkage.starting_model()
+    model.prior = 0.2
+    found = linkage.predict(rows, model, 0.1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(profile_l" not in plan and "keys=[profile_l" not in plan
+    pairs = [(r.profile_l, r.profile_r) for r in found.collect()]
+    assert pairs and len(pairs) == len(set(pairs))
