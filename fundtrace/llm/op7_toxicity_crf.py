@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm import crf, words
 from fundtrace.llm.samples import labelled_sample
-from fundtrace.llm.store import documents, fold, prepare
+from fundtrace.llm.store import documents, fold, give_back, prepare
 
 PER_CLASS = 1500  # labelled documents of each class the model is fitted on, at most
 REJECT = 0.7
@@ -197,6 +197,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not rejected as toxic."""
     model = fit(documents(spark, sf_dir, "doc_id", "text"), training_rows(spark, sf_dir))
+    give_back()
     return keep_below(docs, model, REJECT)
 
 
