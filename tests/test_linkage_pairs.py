@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.functions import similarity
 from fundtrace.operators import linkage
+from fundtrace.sources.warehouse import Warehouse
 
 
 def _rows(spark, n=60):
@@ -76,3 +77,51 @@ def test_predictions_form_pairs_without_shuffling_them(spark):
     assert "hashpartitioning(profile_l" not in plan and "keys=[profile_l" not in plan
     pairs = [(r.profile_l, r.profile_r) for r in found.collect()]
     assert pairs and len(pairs) == len(set(pairs))
+
+
+def test_pairs_with_a_side_that_lacks_its_number(spark):
+    data, rows = _rows(spark, 120)
+    want = sorted((a[0], b[0], a[1], b[1]) for a in data for b in data if a[0] < b[0] and a[3] is not None and a[3] == b[3] and None in (a[1], b[1]))
+    for tile in (2_000, 3):
+        found = linkage.rule_pairs(rows, [F.col("city")], ["bn_root"], tile, ["bn_root"])
+        got = [(r.profile_l, r.profile_r, r.bn_root_l, r.bn_root_r) for r in found.collect()]
+        key = lambda t: tuple(x or "" for x in t)
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_names_that_need_an_unknown_number_make_one_block(spark):
+    model = linkage.starting_model()
+    for column, top in (("bn_root", 0.999), ("cleaned_name", 0.5), ("city", 0.9), ("province", 0.9), ("entity_type", 0.9)):
+        n = linkage.LEVELS[column]
+        model.m[column] = np.array([(1 - top) / (n - 1)] * (n - 1) + [top])
+        model.u[column] = np.array([0.96, 0.03, 0.008, 0.002] if n == 4 else [0.95, 0.05])
+    model.prior = 5e-5
+    bounds = linkage.reach(model, 0.4)
+    assert bounds.number_lacking
+    keys, lacking = linkage._keys_within_reach(model, 0.4)
+    assert lacking[:3] == [None] * 3 and lacking[3:] == ["bn_root"]
+    # The pairs left out are none that reach the threshold.
+    rng = random.Random(3)
+    names_ = ["NORTH A", "NORTH B", "NORTH AB", "NORTH LAKES", "SOUTH"]
+    data = {(rng.choice(["1", "2", "3", None]), rng.choice(names_), rng.choice(["X", "Y", None]), rng.choice(["AB", "BC"]), "charity") for _ in range(80)}
+    schema = "profile_id string, bn_root string, cleaned_name string, city string, province string, entity_type string, n_records long"
+    rows = spark.createDataFrame([(f"p{i:02d}", *r, 1) for i, r in enumerate(sorted(data, key=str))], schema)
+    got = {(r.profile_l, r.profile_r): round(r.match_weight, 6) for r in linkage.predict(rows, model).collect()}
+    rated = rows.join(linkage._frequencies(rows, "bn_root"), "bn_root", "left").join(linkage._frequencies(rows, "cleaned_name"), "cleaned_name", "left")
+    columns = [*linkage.COMPARED, "tf_bn_root", "tf_cleaned_name"]
+    every = linkage.with_gammas(linkage.candidate_pairs(rated, columns=columns))
+    weight = sum((linkage._weight(model, c) for c in linkage.COMPARED), F.lit(model.prior_weight))
+    least = float(np.log2(0.4 / 0.6))
+    want = {(r.profile_l, r.profile_r): round(r.w, 6) for r in every.withColumn("w", weight).filter(F.col("w") >= least).collect()}
+    assert got == want and any(w for w in want)
+
+
+def test_link_names_are_cleaned_once_per_distinct_name(spark):
+    schema = "id string, entity_id long, source_schema string, source_table string, source_name string"
+    links = spark.createDataFrame([("a", 1, "s", "t", "North Ltd"), ("b", 1, "s", "t", "North Ltd")], schema)
+    entity = spark.createDataFrame([(1, "North", "active")], "id long, canonical_name string, status string")
+    found = linkage.extract_records(Warehouse(spark, {"entity_golden_records": entity, "entity_source_links": links}))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate [entity_id") :]
+    assert "source_name" in grouped and "regexp_replace(" not in grouped
+    assert sorted(r.record_id for r in found.collect()) == ["entity:1:canonical", "source_link:a"]
