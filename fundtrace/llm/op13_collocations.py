@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +36,8 @@ SCALE = 1_000_000
 BREAKS = separators(b".,;:!?\n\x0b\x0c\r")
 BETWEEN = separators(b".,;:!?\n\x0b\x0c\r \t")
 
-_GRAM = "lang string, a string, b string, c string, f long"
+# A phrase is counted as one string: words hold no space.
+_GRAM = "lang string, phrase string, f long"
 
 
 def _token(*parts) -> F.Column:
@@ -44,9 +46,9 @@ def _token(*parts) -> F.Column:
 
 
 def _grams(docs: DataFrame, order: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(lang, a, b, c, f): occurrences of phrases of ``order`` words, summed per block of text.
+    """(lang, phrase, f): occurrences of phrases of ``order`` words, joined by spaces, summed per block of text.
 
-    With ``bits`` only phrases whose parts of ``order - 1`` words may be in it. For words a row without ``a`` sums all.
+    With ``bits`` only phrases whose parts of ``order - 1`` words may be in it. For words a row without ``phrase`` sums all.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -106,25 +108,29 @@ def _grams(docs: DataFrame, order: int, bits: np.ndarray | None = None) -> DataF
         return _batch(names, language[three], [words.take(pa.array(spelled[k])) for k in (one[front], two[front], three)], counts)
 
     def _batch(names, lang, columns, counts):
-        columns = columns + [pa.nulls(len(counts), pa.string())] * (3 - len(columns))
+        phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
         langs = pa.array(names, pa.string()).take(pa.array(lang))
-        return pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts, pa.int64())], names=["lang", "a", "b", "c", "f"])
+        return pa.RecordBatch.from_arrays([langs, phrase, pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
 
     return docs.mapInArrow(scan, _GRAM)
 
 
 def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(totals, counts) of ``docs`` (lang, text): (lang, n) and the stored (lang, a, b, c, f) of all with f >= ``least``."""
-    keys = ["lang", "a", "b", "c"]
+
+    def summed(order: int, bits: np.ndarray | None = None) -> DataFrame:
+        sums = _grams(texts, order, bits).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        kept = sums.filter(F.col("phrase").isNull() | (F.col("f") >= least))
+        word = [F.col("phrase")] if order == 1 else [F.split("phrase", " ")[i] for i in range(order)]
+        word += [F.lit(None).cast("string")] * (3 - order)
+        return table(kept.select("lang", *[w.alias(n) for w, n in zip(word, "abc")], "f"))
+
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = _grams(texts, 1).groupBy(*keys).agg(F.sum("f").alias("f"))
-    words = table(words.filter(F.col("a").isNull() | (F.col("f") >= least)))
+    words = summed(1)
     totals = words.filter("a is null").select("lang", F.col("f").alias("n"))
     found = [words.filter("a is not null")]
     for order, parts in ((2, ["a"]), (3, ["a", "b"])):
-        bits = bit_map(found[-1].select(_token(*parts)))
-        grams = _grams(texts, order, bits).groupBy(*keys).agg(F.sum("f").alias("f"))
-        found.append(table(grams.filter(F.col("f") >= least)))
+        found.append(summed(order, bit_map(found[-1].select(_token(*parts)))))
     return totals, found[0].unionByName(found[1]).unionByName(found[2])
 
 

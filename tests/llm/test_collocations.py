@@ -105,3 +105,12 @@ def test_awkward_rows(spark, awkward, nothing):
     rows = [(r.lang, r.text) for r in awkward.collect()]
     assert sorted(tuple(r) for r in op.collocations(awkward, 2, 100).collect()) == plain(rows, 2, 100)
     assert op.collocations(nothing).collect() == []
+
+
+def test_a_phrase_is_counted_as_one_string(spark):
+    found = op._grams(spark.createDataFrame([("en", "a b c a b c"), ("de", "x,y z")], "lang string, text string"), 1)
+    assert found.columns == ["lang", "phrase", "f"]
+    _, counts = op.counted(spark.createDataFrame([("en", "a b c a b c"), ("de", "x,y z")], "lang string, text string"), 2)
+    assert sorted((tuple(r) for r in counts.collect()), key=repr) == sorted(
+        [("en", "a", None, None, 2), ("en", "b", None, None, 2), ("en", "c", None, None, 2), ("en", "a", "b", None, 2), ("en", "b", "c", None, 2), ("en", "a", "b", "c", 2)], key=repr
+    )
