@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm import crf, words
 from fundtrace.llm.samples import labelled_sample
-from fundtrace.llm.store import documents, fold, give_back, prepare
+from fundtrace.llm.store import documents, fold, give_back, prepare, trim
 
 PER_CLASS = 1500  # labelled documents of each class the model is fitted on, at most
 REJECT = 0.7
@@ -205,13 +205,17 @@ def keep_below(docs: DataFrame, model: dict, limit: float) -> DataFrame:
     """Rows of ``docs``, all columns, whose score is below ``limit``: filtered in one pass, without a join."""
     sent = _model(prepare(docs.sparkSession), model)
 
+    def part_scores(part: pa.Array) -> np.ndarray:
+        model, tokens = sent.value, Tokens(part)
+        found = tokens.document_features(crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"]))
+        return crf.sigmoid(found @ model["document"][:-1] + model["document"][-1])
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        model, scores = sent.value, [np.zeros(0)]
+        scores = [np.zeros(0)]
         for part in _parts(pa.array(texts, pa.string())):
-            tokens = Tokens(part)
-            found = tokens.document_features(crf.marginals(tokens.scores(model["weights"]), tokens.chains, model["moves"]))
-            scores.append(crf.sigmoid(found @ model["document"][:-1] + model["document"][-1]))
+            scores.append(part_scores(part))
+            trim()
         return pd.Series(np.concatenate(scores))
 
     return docs.filter(scored(F.lower(F.col("text").cast("string"))) < limit)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from fundtrace.llm import words
 from fundtrace.llm.bits import bit_map, maybe
 from fundtrace.llm.components import components
-from fundtrace.llm.store import documents, drop, prepare, table
+from fundtrace.llm.store import documents, drop, prepare, table, trim
 
 SHINGLE = 5
 PERCENT = 80
@@ -103,6 +103,7 @@ def shingle_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(low)],
                 names=["row", "doc_id", "key", "n", "digest", "low"],
             )
+            trim()
 
     rows = _keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "key")
     return rows.mapInArrow(scan, "row long, doc_id long, key long, n int, digest binary, low array<long>")
@@ -166,6 +167,7 @@ def _index(rows: DataFrame, bits, whole: bool) -> DataFrame:
                 [node, batch.column(1), *(pa.array(x, pa.int32()) for x in (taken, often, groups)), _lists(single), _lists(pair)],
                 names=["node", "n", "taken", "often", "groups", "single", "pair"],
             )
+            trim()
 
     return rows.select("node", "n", "own").mapInArrow(scan, _INDEX)
 
@@ -185,6 +187,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> Dat
                 [node.take(pa.array(keep, pa.int64())), pa.array(list(map(len, arrays)), pa.int32()), _lists(arrays)],
                 names=["node", "n", "own"],
             )
+            trim()
 
     # The filter tells the optimizer that these are few, so it reduces the scan of the texts before its shuffle.
     wanted = nodes.filter("node >= 0").select("node", "key", "digest")
