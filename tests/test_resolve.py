@@ -132,3 +132,67 @@ def test_donee_rows_use_both_numbers(spark, wh):
     index = resolve.build_index(wh)
     found = resolve.resolve_rows(spark.createDataFrame(data, schemas.FEED), "cra_donees", index)
     assert rows(resolve.resolved_entities(found, index), "entity_id") == [(1,), (2,)]
+
+
+def _overrides(spark):
+    aliases = spark.createDataFrame([("acme b", 2, 0.9)], "alias_norm string, entity_id bigint, confidence double")
+    survivors = spark.createDataFrame([(3, 1, 0.9), (9, 2, 0.8)], "duplicate_entity_id bigint, survivor_entity_id bigint, confidence double")
+    return resolve.Overrides(aliases, survivors)
+
+
+def _wide_warehouse(spark):
+    records = [
+        fixtures.golden(1, "Acme A", "111111111", aliases='["ACME  a", "Acme-A", "X", {"name": "Acme Object"}, null, 7]'),
+        fixtures.golden(2, "Co", "222222222", aliases='["Acme, B."]'),
+        fixtures.golden(3, "Acme A", "111111111"),
+        fixtures.golden(4, None, None),
+        fixtures.golden(5, "acme a", ""),
+    ]
+    return Warehouse(spark, {"entity_golden_records": fixtures.frame(spark, "entity_golden_records", records)})
+
+
+def test_index_names_are_normalised_after_their_shuffle(spark, monkeypatch):
+    plans = []
+    store = resolve.checkpoint
+    monkeypatch.setattr(resolve, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), store(df))[1])
+    index = resolve.build_index(_wide_warehouse(spark), _overrides(spark))
+    lines = plans[0].splitlines()
+    normalised = [i for i, line in enumerate(lines) if "regexp_replace" in line]
+    shuffled = [i for i, line in enumerate(lines) if "Aggregate [name#" in line]
+    assert normalised and shuffled and max(normalised) <= min(shuffled)
+    listed = rows(index.entities.distinct(), "kind", "key", "entity_id")
+    assert listed == [
+        ("name", "acme a", 1),
+        ("name", "acme a", 5),
+        ("name", "acme b", 2),
+        ("number", "111111111", 1),
+        ("number", "222222222", 2),
+    ]
+    assert rows(index.keys, "kind", "key", "moved", "is_alias") == [
+        ("name", "acme a", False, None),
+        ("name", "acme b", False, True),
+        ("number", "111111111", True, None),
+        ("number", "222222222", False, None),
+    ]
+
+
+def test_keys_of_a_feed_row_are_formed_as_columns(spark):
+    index = resolve.build_index(_wide_warehouse(spark), _overrides(spark))
+    data = [
+        ("1", None, None, None, "111111111", "111111111RR0001", "Acme B", "5"),
+        ("2", None, None, None, "", None, "ACME (a)", "5"),
+        ("3", None, None, None, None, "999999999", "acme b", "5"),
+        ("4", None, None, None, None, None, "no", "5"),
+        (None, None, None, None, "222222222", None, None, "5"),
+    ]
+    found = resolve.resolve_rows(spark.createDataFrame(data, schemas.FEED), "cra_donees", index)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Keys are plain columns: functions on lists are interpreted row by row, with the patterns inside them.
+    assert plan.count("[^0-9]") == 4 and "lambda" not in plan
+    listed = resolve.resolved_entities(found, index)
+    assert rows(listed, "external_id", "entity_id", "mapping_method") == [
+        ("1", 1, "splink_survivor_override"),
+        ("2", 1, "exact_name_or_alias"),
+        ("2", 5, "exact_name_or_alias"),
+        ("3", 2, "splink_alias_override"),
+    ]
