@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import fixtures
 from fundtrace.functions import similarity
 from fundtrace.operators import linkage
 from fundtrace.sources.warehouse import Warehouse
@@ -125,3 +126,18 @@ def test_link_names_are_cleaned_once_per_distinct_name(spark):
     grouped = plan[plan.index("Aggregate [entity_id") :]
     assert "source_name" in grouped and "regexp_replace(" not in grouped
     assert sorted(r.record_id for r in found.collect()) == ["entity:1:canonical", "source_link:a"]
+
+
+def test_entities_of_one_profile_are_all_candidates_of_each_other(spark):
+    """Seven entities share a profile that reaches the threshold: 21 pairs, in one tile and in many."""
+    listed = [fixtures.golden(i, "Same Name Inc.", "123456789") for i in (9, 2, 4, 7, 1, 5, 3)]
+    listed += [fixtures.golden(i, f"Other {i} Club", f"{i:09d}") for i in range(100, 120)]
+    wh = Warehouse(spark, {"entity_golden_records": fixtures.frame(spark, "entity_golden_records", listed)})
+    want = {(a, b) for a in (1, 2, 3, 4, 5, 7, 9) for b in (1, 2, 3, 4, 5, 7, 9) if a < b}
+    run = linkage.run_linkage(wh, threshold=1e-9)
+    small = linkage.build_candidates(run.records, run.predictions, all_pairs=True, tile=2)
+    for found in (run.candidates, small):
+        got = [(r.entity_id_l, r.entity_id_r) for r in found.filter("cleaned_name_l = 'SAME NAME'").collect()]
+        assert len(got) == len(want) and set(got) == want
+    own = {r.match_probability for r in run.predictions.filter("profile_l = profile_r").collect()}
+    assert {r.match_probability for r in run.candidates.filter("cleaned_name_l = 'SAME NAME'").collect()} == own
