@@ -15,6 +15,7 @@ from fundtrace.functions import ids, names
 from fundtrace.operators.directors import NAME, named_filings
 from fundtrace.operators.edges import current_grants, linked, public_edges
 from fundtrace.operators.entities import id_by_root
+from fundtrace.session import checkpoint
 from fundtrace.sources.warehouse import Warehouse
 
 COOLING_YEARS = 5
@@ -31,15 +32,20 @@ def received_by_year(wh: Warehouse) -> DataFrame:
     )
 
 
-def gifts_by_year(wh: Warehouse) -> DataFrame:
-    """(src, dst, year, amount) of gifts between two numbers."""
+def _gifts(wh: Warehouse) -> DataFrame:
+    """(src, dst, year, total_gifts) of gifts between two numbers."""
     gifts = wh.gifts.filter("total_gifts > 0 AND donee_bn IS NOT NULL").select(
         ids.bn_left(F.col("bn")).alias("src"),
         ids.bn_left(F.col("donee_bn")).alias("dst"),
         F.year("fpe").alias("year"),
         "total_gifts",
     )
-    return gifts.filter("src <> dst").groupBy("src", "dst", "year").agg(F.sum("total_gifts").alias("amount"))
+    return gifts.filter("src <> dst")
+
+
+def gifts_by_year(wh: Warehouse) -> DataFrame:
+    """(src, dst, year, amount) of gifts between two numbers."""
+    return _gifts(wh).groupBy("src", "dst", "year").agg(F.sum("total_gifts").alias("amount"))
 
 
 def _answering(gifts: DataFrame) -> DataFrame:
@@ -47,6 +53,32 @@ def _answering(gifts: DataFrame) -> DataFrame:
     return gifts.withColumn("grant_year", F.explode(F.array("year", F.col("year") - 1))).groupBy("src", "dst", "grant_year").agg(F.sum("amount").alias("amount"))
 
 
+def mutual_gifts(wh: Warehouse) -> DataFrame:
+    """(a, b, year, onward, returned): two numbers that gave to each other in ``year`` or the next, from either side.
+
+    Both directions of a pair are rows of one key, so the gifts are shuffled once, by pair: yearly sums, the pairs that gave
+    both ways and the sums of two years all follow where the rows are.
+    """
+    gifts = _gifts(wh).filter("year IS NOT NULL").select(
+        F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), (F.col("src") < F.col("dst")).alias("up"), "year", "total_gifts"
+    )
+    sums = [F.sum(F.when(F.col("up"), F.col("total_gifts"))).alias("up"), F.sum(F.when(~F.col("up"), F.col("total_gifts"))).alias("down")]
+    yearly = gifts.repartition("low", "high").groupBy("low", "high", "year").agg(*sums)
+    pair = Window.partitionBy("low", "high")
+    both = yearly.withColumns({"_up": F.count("up").over(pair), "_down": F.count("down").over(pair)}).filter("_up > 0 AND _down > 0")
+    met = (
+        both.withColumn("grant_year", F.explode(F.array("year", F.col("year") - 1)))
+        .groupBy("low", "high", F.col("grant_year").alias("year"))
+        .agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        .filter("up IS NOT NULL AND down IS NOT NULL")
+    )
+
+    def side(a: str, b: str, onward: str, returned: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("year"), F.col(onward).alias("onward"), F.col(returned).alias("returned"))
+
+    return met.select(F.inline(F.array(side("low", "high", "up", "down"), side("high", "low", "down", "up"))))
+
+
 def _holders(wh: Warehouse) -> DataFrame:
     return named_filings(wh).filter(F.col(NAME) != "").select("bn_root", NAME).distinct()
 
@@ -69,13 +101,11 @@ def conduits(wh: Warehouse, min_share: float = 0.5, min_shared: int = 1) -> Data
     ``a`` received public money in ``year``, gave at least ``min_share`` of it to ``b`` in that or the next year, and got
     money back from ``b`` in these two years; both share ``min_shared`` directors or more.
     """
-    gifts = _answering(gifts_by_year(wh))
-    back = gifts.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("grant_year").alias("year"), F.col("amount").alias("returned"))
-    out = gifts.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("grant_year").alias("year"), F.col("amount").alias("onward"))
     money = received_by_year(wh).withColumnRenamed("bn", "a")
     # Mutual giving is rare, so it is found before the public money is looked up.
-    found = out.join(back, ["a", "b", "year"]).join(money, ["a", "year"])
-    found = found.filter(F.col("onward").cast("double") >= F.lit(min_share) * F.col("received").cast("double"))
+    found = mutual_gifts(wh).join(money, ["a", "year"])
+    # Stored, because the directors are looked up for its pairs before they are joined to it.
+    found = checkpoint(found.filter(F.col("onward").cast("double") >= F.lit(min_share) * F.col("received").cast("double")))
     found = with_shared_directors(wh, found).filter(F.col("shared_directors") >= min_shared)
     return found.select("a", "b", "year", *[F.col(c).cast("double").alias(c) for c in ("received", "onward", "returned")], "shared_directors")
 

@@ -162,3 +162,17 @@ def test_empty_tables(spark):
         patterns.revolving_door(wh), patterns.contact_before_award(wh),
     ):
         assert df.collect() == []
+
+
+def test_mutual_gifts_shuffle_the_gifts_once_by_pair(spark):
+    rng = random.Random(6)
+    bn = lambda: f"{rng.randint(1, 6):09d}RR"
+    data = [(bn(), rng.choice([day(rng), None]), k, rng.choice([bn(), bn(), None]), Decimal(rng.randint(0, 9))) for k in range(90)]
+    data += data[:20]
+    wh = Warehouse(spark, {"cra_qualified_donees": fixtures.frame(spark, "cra_qualified_donees", data)})
+    gave = sums(((s[:9], d[:9], date.year - lag), amount) for s, date, _, d, amount in data if date and d and amount > 0 and s != d for lag in (0, 1))
+    want = sorted((a, b, y, amount, gave[b, a, y]) for (a, b, y), amount in gave.items() if (b, a, y) in gave)
+    found = patterns.mutual_gifts(wh)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows(found) == sorted(want, key=repr) and want
