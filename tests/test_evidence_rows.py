@@ -7,7 +7,8 @@ import json
 import re
 from decimal import Decimal
 
-from fundtrace.operators import evidence
+import fixtures
+from fundtrace.operators import evidence, graph
 from fundtrace.sources.warehouse import Warehouse
 
 
@@ -39,3 +40,11 @@ def test_smallest_row_of_each_request_without_a_shuffle_of_rows(spark):
         ("fed_contribution", "10", "a"),
         ("fed_grant", "10", "a"),
     ]
+
+
+def test_nodes_are_listed_without_a_shuffle_of_whole_edges(spark):
+    wh = fixtures.three_entities(spark)
+    nodes = graph.vertices(wh)
+    assert "confidence_score" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    ends = {end for r in graph.graph_edges(wh).collect() for end in (r.src, r.dst) if ":" in end}
+    assert ends and sorted(r.node_id for r in nodes.collect()) == sorted({"1001", "1002", "1003"} | ends)
